@@ -77,33 +77,36 @@ def tokenize_filtered(text: Column, stopwords: Iterable[str] = STOPWORDS) -> Col
 
 
 def with_bag(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
-    """Columns ``keep`` plus the row's bag of words: ``terms`` and ``counts``.
+    """Columns ``keep`` plus the row's ``len`` and bag of words, ``terms`` and ``counts``.
 
     The tokens of a row are sorted and run-length encoded within the row, so a
-    document's term counts never need a shuffle.
+    document's term counts never need a shuffle. No lambda refers to another
+    array, so a predicate that the optimizer pushes below these projections
+    costs at most a second evaluation, never one per element.
     """
-    sorted_tokens = df.select(*keep, F.sort_array(tokens).alias("_tokens"))
-
-    def starts_run(token: Column, pos: Column) -> Column:
-        return (pos == 0) | (token != F.get(F.col("_tokens"), pos - 1))
-
-    runs = sorted_tokens.select(
-        *keep,
-        F.size("_tokens").alias("_size"),
-        F.filter("_tokens", starts_run).alias("terms"),
-        F.filter(
-            F.transform("_tokens", lambda t, p: F.when(starts_run(t, p), p)),
-            lambda p: p.isNotNull(),
-        ).alias("_starts"),
+    no_token = F.lit(None).cast("string")
+    placed = F.transform(
+        "_tokens", lambda t, pos: F.struct(t.alias("token"), pos.alias("start"))
     )
-    return runs.select(
-        *keep,
-        F.col("_size").cast("bigint").alias("len"),
-        "terms",
-        F.transform(
-            "_starts",
-            lambda start, pos: (
-                F.coalesce(F.get(F.col("_starts"), pos + 1), F.col("_size")) - start
-            ).cast("bigint"),
-        ).alias("counts"),
+    run_starts = F.filter(
+        F.zip_with(
+            placed,
+            F.concat(F.array(no_token), F.col("_tokens")),
+            lambda here, before: F.when(~here["token"].eqNullSafe(before), here),
+        ),
+        lambda here: here["token"].isNotNull(),
+    )
+    starts = F.col("_runs.start")
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array("_size"))
+    return (
+        df.select(*keep, F.sort_array(tokens).alias("_tokens"))
+        .select(*keep, F.size("_tokens").alias("_size"), run_starts.alias("_runs"))
+        .select(
+            *keep,
+            F.col("_size").cast("bigint").alias("len"),
+            F.col("_runs.token").alias("terms"),
+            F.when(F.col("_size") == 0, F.array().cast("array<bigint>"))
+            .otherwise(F.zip_with(starts, ends, lambda a, b: (b - a).cast("bigint")))
+            .alias("counts"),
+        )
     )

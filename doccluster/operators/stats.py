@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from doccluster.functions.text import tokenize_filtered, tokenize_raw, with_bag
 
-# Width of a document-id range that shares one list; bounds every collected list.
-CHUNK_SPAN = 65536
+# Documents whose ids agree above the lowest CHUNK_BITS bits share one list, so a
+# collected list never holds more than 2^CHUNK_BITS documents.
+CHUNK_BITS = 16
 
 
 def _explode_bag(bag: DataFrame, *keep: str) -> DataFrame:
@@ -62,11 +63,7 @@ def doc_length(docs: DataFrame) -> DataFrame:
 
 def doc_norm(docs: DataFrame) -> DataFrame:
     """``(doc_id, norm)``: length of the raw term-frequency vector."""
-    return (
-        raw_bags(docs)
-        .filter(F.col("norm2") > 0)
-        .select("doc_id", F.sqrt("norm2").alias("norm"))
-    )
+    return raw_bags(docs).select("doc_id", F.sqrt("norm2").alias("norm"))
 
 
 def category_size(cat_docs: DataFrame) -> DataFrame:
@@ -99,18 +96,14 @@ def vocabulary_size(docs: DataFrame) -> DataFrame:
     return tokens.distinct().agg(F.count("*").alias("vocabulary"))
 
 
-def chunk_of(doc_id: Column, span: int = CHUNK_SPAN) -> Column:
-    return F.floor(doc_id / F.lit(span)).cast("bigint")
-
-
-def posting_lists(tf: DataFrame, chunk_span: int = CHUNK_SPAN) -> DataFrame:
+def posting_lists(tf: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """Inverted index ``(term, chunk, postings)``.
 
-    Document ids are unique, so a list never holds more than ``chunk_span``
+    Document ids are unique, so a list never holds more than ``2^chunk_bits``
     postings however many documents share the term; the chunks of a term, in
     order, are its whole list sorted by document.
     """
     return (
-        tf.groupBy("term", chunk_of(F.col("doc_id"), chunk_span).alias("chunk"))
+        tf.groupBy("term", F.shiftright("doc_id", chunk_bits).alias("chunk"))
         .agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
     )
