@@ -46,11 +46,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_from_table(documents(spark, sf_dir), "doc_id", "text")
+    return docs_from_table(
+        documents(spark, sf_dir),
+        "doc_id",
+        "text",
+        min_partitions=spark.sparkContext.defaultParallelism,
+    )
+
+
+def categorized(spark: SparkSession, sf_dir: str, cate_col: str) -> DataFrame:
+    return docs_from_table(
+        documents(spark, sf_dir),
+        "doc_id",
+        "text",
+        cate_col,
+        min_partitions=spark.sparkContext.defaultParallelism,
+    )
 
 
 def cat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_from_table(documents(spark, sf_dir), "doc_id", "text", "lang")
+    return categorized(spark, sf_dir, "lang")
 
 
 def over_docs(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -105,7 +120,7 @@ def labels(df: DataFrame) -> DataFrame:
 
 
 def labels_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_source = docs_from_table(documents(spark, sf_dir), "doc_id", "text", "source")
+    by_source = categorized(spark, sf_dir, "source")
     return weights(labeling.cluster_labels(by_source, num_features=FEATURES))
 
 

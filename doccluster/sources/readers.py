@@ -21,6 +21,13 @@ def _parse_lines(lines: DataFrame, categorized: bool) -> DataFrame:
     return lines.select(doc_id.try_cast("bigint").alias("doc_id"), text.alias("text"))
 
 
+def _at_least(df: DataFrame, min_partitions: int | None) -> DataFrame:
+    """Spread a scan with fewer partitions than asked; leave any other alone."""
+    if min_partitions is None or df.rdd.getNumPartitions() >= min_partitions:
+        return df
+    return df.repartition(min_partitions)
+
+
 def _well_formed() -> Column:
     return F.col("doc_id").isNotNull() & F.col("text").isNotNull()
 
@@ -32,7 +39,7 @@ def read_docs(spark: SparkSession, path: str, min_partitions: int | None = None)
     lists them. ``min_partitions`` spreads an input of few large files.
     """
     docs = _parse_lines(spark.read.text(path), categorized=False).filter(_well_formed())
-    return docs.repartition(min_partitions) if min_partitions else docs
+    return _at_least(docs, min_partitions)
 
 
 def read_categorized_docs(
@@ -40,7 +47,7 @@ def read_categorized_docs(
 ) -> DataFrame:
     """``cate docid text`` lines as ``(cate, doc_id, text)``."""
     docs = _parse_lines(spark.read.text(path), categorized=True).filter(_well_formed())
-    return docs.repartition(min_partitions) if min_partitions else docs
+    return _at_least(docs, min_partitions)
 
 
 def malformed_lines(spark: SparkSession, path: str, categorized: bool = False) -> DataFrame:
@@ -52,13 +59,17 @@ def malformed_lines(spark: SparkSession, path: str, categorized: bool = False) -
 
 
 def docs_from_table(
-    df: DataFrame, id_col: str, text_col: str, cate_col: str | None = None
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    cate_col: str | None = None,
+    min_partitions: int | None = None,
 ) -> DataFrame:
     """Any table as plain or categorised documents."""
     columns = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")]
     if cate_col is not None:
         columns.insert(0, F.col(cate_col).cast("string").alias("cate"))
-    return df.select(*columns)
+    return _at_least(df.select(*columns), min_partitions)
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
