@@ -76,11 +76,13 @@ def corpus_size(cat_docs: DataFrame) -> DataFrame:
     return cat_docs.agg(F.count("*").alias("n_docs"))
 
 
-def category_term_df(cat_docs: DataFrame) -> DataFrame:
-    """``(cate, term, df)``: documents of the category that hold the term."""
-    return (
-        distinct_doc_terms(cat_docs).groupBy("cate", "term").agg(F.count("*").alias("df"))
-    )
+def category_term_df(cat_docs: DataFrame, tf: DataFrame | None = None) -> DataFrame:
+    """``(cate, term, df)``: documents of the category that hold the term.
+
+    A written ``tf`` table of the same documents saves tokenising them again.
+    """
+    held = distinct_doc_terms(cat_docs) if tf is None else tf
+    return held.groupBy("cate", "term").agg(F.count("*").alias("df"))
 
 
 def term_df(cat_docs: DataFrame) -> DataFrame:

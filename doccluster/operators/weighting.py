@@ -34,7 +34,7 @@ def _guarded_log(x: Column) -> Column:
     return F.when(x > 0, F.log(x)).otherwise(F.lit(0.0))
 
 
-def term_scores(cat_docs: DataFrame) -> DataFrame:
+def term_scores(cat_docs: DataFrame, tf: DataFrame | None = None) -> DataFrame:
     """``(term, lig, ig)`` of every filtered term.
 
     Both sums run over the categories that hold the term. One shuffle by term
@@ -44,7 +44,7 @@ def term_scores(cat_docs: DataFrame) -> DataFrame:
     n = corpus_size(cat_docs).scalar()
     by_term = Window.partitionBy("term")
     cells = (
-        category_term_df(cat_docs)
+        category_term_df(cat_docs, tf)
         .join(category_size(cat_docs), "cate")
         .select(
             "term",
@@ -79,11 +79,13 @@ def ig(cat_docs: DataFrame) -> DataFrame:
     return term_scores(cat_docs).select("term", "ig")
 
 
-def category_term_scores(cat_docs: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+def category_term_scores(
+    cat_docs: DataFrame, scores: DataFrame | None = None, tf: DataFrame | None = None
+) -> DataFrame:
     """``(cate, term, lig, ig)`` of the terms each category uses."""
-    scores = term_scores(cat_docs) if scores is None else scores
+    scores = term_scores(cat_docs, tf) if scores is None else scores
     return (
-        category_term_df(cat_docs)
+        category_term_df(cat_docs, tf)
         .select("cate", "term")
         .join(scores, "term")
         .select("cate", "term", "lig", "ig")
@@ -98,8 +100,8 @@ def tf_icdf(
     ``top_n`` keeps only the (category, term) pairs with the largest document
     frequency over the whole corpus, so a category can end up without terms.
     """
+    cdf = category_term_df(cat_docs, tf)
     tf = term_frequency(cat_docs) if tf is None else tf
-    cdf = category_term_df(cat_docs)
     small = False
     if top_n is not None:
         cdf, small = select_top(cdf, top_n, F.desc("df"), F.col("cate"), F.col("term"))
@@ -118,8 +120,8 @@ def _tf_times(
     tf: DataFrame | None,
     scores: DataFrame | None,
 ) -> DataFrame:
+    scores = term_scores(cat_docs, tf) if scores is None else scores
     tf = term_frequency(cat_docs) if tf is None else tf
-    scores = term_scores(cat_docs) if scores is None else scores
     return tf.join(scores.select("term", score), "term").select(
         "cate", "doc_id", "term", (factor * F.col(score)).alias("weight")
     )

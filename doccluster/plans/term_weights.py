@@ -26,20 +26,23 @@ def write_term_scores(cat_docs: DataFrame, path: str, file_format: str = "parque
     once and read by every output.
     """
     tf = materialize(term_frequency(cat_docs), "tf")
-    scores = materialize(term_scores(cat_docs), "scores")
+    scores = materialize(term_scores(cat_docs, tf), "scores")
     write_overwrite(scores, f"{path}/lig_all", file_format)
-    write_by_category(category_term_scores(cat_docs, scores), f"{path}/lig", "cate", file_format)
+    by_category = category_term_scores(cat_docs, scores, tf)
+    write_by_category(by_category, f"{path}/lig", "cate", file_format)
     write_by_category(log_tf_lig(cat_docs, tf, scores), f"{path}/tflig", "cate", file_format)
     write_by_category(log_tf_ig(cat_docs, tf, scores), f"{path}/tfig", "cate", file_format)
 
 
 def write_tf_lig(cat_docs: DataFrame, path: str, file_format: str = "parquet") -> None:
     """TF*LIG vectors per document."""
-    write_overwrite(doc_weight_vectors(tf_lig(cat_docs)), path, file_format)
+    tf = materialize(term_frequency(cat_docs), "tf")
+    write_overwrite(doc_weight_vectors(tf_lig(cat_docs, tf)), path, file_format)
 
 
 def write_tf_icdf(
     cat_docs: DataFrame, path: str, top_n: int | None = None, file_format: str = "parquet"
 ) -> None:
     """TF*ICDF vectors per document."""
-    write_overwrite(doc_weight_vectors(tf_icdf(cat_docs, top_n)), path, file_format)
+    tf = materialize(term_frequency(cat_docs), "tf")
+    write_overwrite(doc_weight_vectors(tf_icdf(cat_docs, top_n, tf)), path, file_format)

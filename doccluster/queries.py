@@ -198,13 +198,13 @@ def tfidf_vectors(df: DataFrame) -> DataFrame:
 
 
 def kmeans_assignments(df: DataFrame) -> DataFrame:
-    features = kmeans.tfidf_vectors(df)
+    features = materialize(kmeans.tfidf_vectors(df), "features")
     model = kmeans.kmeans(features, k=4, max_iter=10, seed=7)
     return kmeans.kmeans_assignments(model, features)
 
 
 def kmeans_sizes(df: DataFrame) -> DataFrame:
-    features = kmeans.tfidf_vectors(df)
+    features = materialize(kmeans.tfidf_vectors(df), "features")
     model = kmeans.kmeans(features, k=4, max_iter=10, runs=2, seed=7)
     return evaluation.cluster_sizes(kmeans.kmeans_assignments(model, features))
 
