@@ -64,6 +64,7 @@ class _Tables:
     def __init__(self, assignments: DataFrame, gold: DataFrame, tags: DataFrame):
         self.cells = materialize(contingency_table(assignments, gold, tags), "contingency")
         self.sizes = materialize(cluster_sizes(assignments), "cluster-sizes")
+        self.documents = self.sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         self._gold, self._tags = gold, tags
 
     def label_totals(self) -> DataFrame:
@@ -71,13 +72,10 @@ class _Tables:
             _tagged(self._gold, self._tags).groupBy("label").agg(F.count("*").alias("total"))
         )
 
-    def documents(self) -> Column:
-        return self.sizes.agg(F.sum("size")).scalar()
-
     def purity(self) -> DataFrame:
         largest = self.cells.groupBy("cluster_id").agg(F.max("n").alias("largest"))
         return largest.agg(
-            F.try_divide(F.coalesce(F.sum("largest"), F.lit(0)), F.max(self.documents())).alias(
+            F.try_divide(F.coalesce(F.sum("largest"), F.lit(0)), F.lit(self.documents)).alias(
                 "purity"
             )
         )
@@ -115,7 +113,7 @@ class _Tables:
         )
 
     def nmi(self) -> DataFrame:
-        n = self.documents()
+        n = F.lit(float(self.documents))
         totals = self.label_totals()
         share = F.col("n") / n
         mutual = (

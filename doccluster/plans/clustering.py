@@ -115,8 +115,9 @@ def _sweep_setting(
     assignments = materialize(
         with_isolated_documents(docs, clusters).select("doc_id", "cluster_id"), "assignments"
     )
-    sizes = size_list(assignments)
-    n_clusters = cluster_sizes(assignments).agg(F.count("*")).scalar()
+    sizes = materialize(size_list(assignments), "sizes")
+    # one row of numbers per setting comes to the driver and goes back as literals
+    scores = evaluate_clusters(assignments, gold, tags).first()
     head = [
         F.lit(category).alias("category"),
         F.lit(0).alias("first"),
@@ -124,7 +125,7 @@ def _sweep_setting(
         F.lit(SWEEP_TAGS[setting]).alias("setting"),
         F.lit("DF").alias("df"),
         F.lit("TF").alias("tf"),
-        n_clusters.alias("n_clusters"),
+        F.lit(cluster_sizes(assignments).count()).cast("bigint").alias("n_clusters"),
         F.col("sizes"),
     ]
     system = (
@@ -132,11 +133,8 @@ def _sweep_setting(
         .join(sizes, "chunk", "left")
         .select(*head, "assignments", "chunk")
     )
-    metrics = evaluate_clusters(assignments, gold, tags)
-    result = sizes.withColumn(
-        "metrics", metrics.select(F.struct(*METRICS)).scalar()
-    ).select(*head, "metrics.*", "chunk")
-    return system, result
+    metrics = [F.lit(scores[m]).cast("double").alias(m) for m in METRICS]
+    return system, sizes.select(*head, *metrics, "chunk")
 
 
 def ap_topn_sweep(

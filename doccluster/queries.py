@@ -162,14 +162,8 @@ def sweep(part: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, gold, tags = gold_standard(spark, sf_dir)
         rows = ap_topn_sweep(docs(spark, sf_dir), gold, tags, "auto", start=0, end=2)[part]
-        counted = rows.withColumn("n_clusters", F.col("n_clusters").cast("bigint"))
-        if part == 0:
-            return counted
-        return counted.select(
-            *[
-                rounded(c, c) if c in evaluation.METRICS else F.col(c)
-                for c in counted.columns
-            ]
+        return rows.select(
+            *[rounded(c, c) if c in evaluation.METRICS else F.col(c) for c in rows.columns]
         )
 
     return run
