@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from doccluster.llm.packing import op10_best_fit_packing
 from doccluster.llm.secrets import op5_secret_scans
+from doccluster.llm.simhash import op1_simhash_near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op5_secret_scans": op5_secret_scans,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
