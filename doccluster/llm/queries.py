@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doccluster.llm.decontamination import op7_benchmark_decontamination
 from doccluster.llm.packing import op10_best_fit_packing
 from doccluster.llm.secrets import op5_secret_scans
 from doccluster.llm.simhash import op1_simhash_near_dedup
@@ -17,6 +18,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op5_secret_scans": op5_secret_scans,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
