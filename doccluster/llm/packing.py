@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,13 +46,85 @@ def load_tokenizer(vocabulary: str):
     )
 
 
-def _word_ids(words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words one after the other, and each word's number of ids."""
-    encoded = tokenizer.encode_batch(words, add_special_tokens=False)
-    lists = [e.ids for e in encoded]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
-    return flat, sizes
+class WordIds:
+    """Token ids of words, each distinct word encoded once.
+
+    A word of letters only is one word of the tokenizer's own, ended by one
+    token with the end-of-word mark, so many of them are encoded as one text.
+    A full stop or comma after a letter is a token of its own.
+    """
+
+    JOINED = 512
+    MOST = 400_000
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tails = {c: self._encode([c])[0] for c in ".,"}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size = np.empty(0, np.uint32), [], []
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [e.ids for e in encoded]
+
+    def _learn(self, stems: list[str]) -> None:
+        joint = [w for w in stems if _one_word(w)]
+        apart = [w for w in stems if not _one_word(w)]
+        parts = [
+            " ".join(joint[n : n + self.JOINED]) for n in range(0, len(joint), self.JOINED)
+        ]
+        flat = np.array([i for ids in self._encode(parts) for i in ids], np.uint32)
+        last = np.flatnonzero(self.ends[flat]) + 1
+        if len(last) != len(joint):  # not a vocabulary with one end per word
+            joint, apart, flat, last = [], stems, flat[:0], last[:0]
+        lists = self._encode(apart)
+        more = np.array([i for ids in lists for i in ids], np.uint32)
+        sizes = np.concatenate([np.diff(last, prepend=0), np.array([*map(len, lists)], np.int64)])
+        starts = np.cumsum(sizes) - sizes + len(self.flat)
+        for word in (*joint, *apart):
+            self.known[word] = len(self.known)
+        self.flat = np.concatenate([self.flat, flat, more])
+        self.start = np.concatenate([self.start, starts]).astype(np.int64)
+        self.size = np.concatenate([self.size, sizes]).astype(np.int64)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct ``words`` one after the other, and each word's number of ids."""
+        if len(self.known) > self.MOST:
+            self._forget()
+        stems, tails = zip(*map(_stem, words)) if words else ((), ())
+        self._learn([w for w in dict.fromkeys(stems) if w not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
+        extra = np.fromiter((len(self.tails.get(t, ())) for t in tails), np.int64, len(tails))
+        sizes = self.size[at] + extra if len(at) else extra
+        ends = np.cumsum(sizes)
+        out = np.empty(int(sizes.sum()), np.uint32)
+        own = np.ones(len(out), bool)
+        for mark, ids in self.tails.items():
+            where = ends[np.array([t == mark for t in tails], bool)]
+            for n, token in enumerate(reversed(ids), 1):
+                out[where - n], own[where - n] = token, False
+        if len(at):
+            out[own] = self.flat[_spread(self.start[at], self.size[at])]
+        return out, sizes
+
+
+def _stem(word: str) -> tuple[str, str]:
+    """A word without a last full stop or comma, in lower case if it is all ASCII letters."""
+    tail = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() else ""
+    stem = word[:-1] if tail else word
+    return (stem.lower() if stem.isascii() and stem.isalpha() else stem), tail
+
+
+def _one_word(word: str) -> bool:
+    return word.isalpha() and (
+        word.isascii() or (word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
+    )
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -61,7 +134,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(total)
 
 
-def encode_texts(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, words_ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in order, and each text's number of ids.
 
     The tokenizer breaks its input at white space, so each distinct word
@@ -71,7 +144,7 @@ def encode_texts(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
     words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
     per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False)
     coded = words.flatten().dictionary_encode()
-    flat, sizes = _word_ids(coded.dictionary.to_pylist(), tokenizer)
+    flat, sizes = words_ids.encode(coded.dictionary.to_pylist())
     starts = np.cumsum(sizes) - sizes
     at = coded.indices.to_numpy(zero_copy_only=False)
     ids = flat[_spread(starts[at], sizes[at])]
@@ -107,17 +180,17 @@ def tokenize_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = load_tokenizer(vocabulary)
+        words_ids = WordIds(load_tokenizer(vocabulary))
         for batch in batches:
             for part in _slices(batch, 8_000_000):
-                yield _pieces(part, tokenizer, capacity, end)
+                yield _pieces(part, words_ids, capacity, end)
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string"))
     return picked.mapInArrow(run, PIECES)
 
 
-def _pieces(batch: pa.RecordBatch, tokenizer, capacity: int, end: int) -> pa.RecordBatch:
-    ids, counts = encode_texts(batch.column(1), tokenizer)
+def _pieces(batch: pa.RecordBatch, words_ids: WordIds, capacity: int, end: int) -> pa.RecordBatch:
+    ids, counts = encode_texts(batch.column(1), words_ids)
     counts = counts + 1
     ends = np.cumsum(counts)
     whole = np.empty(int(counts.sum()), "<u4")
