@@ -10,6 +10,7 @@ from doccluster.llm.decontamination import op7_benchmark_decontamination
 from doccluster.llm.packing import op10_best_fit_packing
 from doccluster.llm.secrets import op5_secret_scans
 from doccluster.llm.simhash import op1_simhash_near_dedup
+from doccluster.llm.toxicity import op2_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_toxicity": op2_toxicity,
         "op5_secret_scans": op5_secret_scans,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,

@@ -20,14 +20,20 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 17
 NGRAMS = (3, 4, 5)
-DIMENSIONS = 8
-EPOCHS = 40
-RATE = 0.05
+DIMENSIONS = 4
+EPOCHS = 60
+# Adam's step, weight decay, and the floor of its denominator: buckets with
+# little evidence have gradients below the floor and move less than a step.
+RATE = 1.0
+DECAY = 0.002
+FLOOR = 1e-4
+# Buckets that fewer texts of the sample hold keep the zero vector.
+LEAST_TEXTS = 30
 SEED = 7
 # The training sample: at most this many rows of each class, none longer than
 # this many characters, the ones with the smallest hashes of their ids.
-SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 20_000
+SAMPLE_ROWS = 3_000
+SAMPLE_CHARS = 5_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 PRIME = 0x01000193
@@ -126,18 +132,27 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Model:
     coded = words.dictionary_encode()
     word, bucket = ngram_buckets(coded.dictionary)
     number = len(coded.dictionary)
-    up, up_back = _mean_matrix(
-        word, bucket, 1 / np.bincount(word, minlength=number)[word], number, BUCKETS
-    )
     text = np.repeat(np.arange(len(counts)), counts)
     pair, many = np.unique(
         text * number + coded.indices.to_numpy(zero_copy_only=False), return_counts=True
     )
     text, used = pair // number, pair % number
     over, over_back = _mean_matrix(text, used, many / counts[text], len(counts), number)
+    texts_of_word = np.bincount(used, minlength=number)
+    common = np.bincount(bucket, texts_of_word[word], BUCKETS) >= LEAST_TEXTS
+    slots = np.flatnonzero(common)
+    share_of_gram = 1 / np.bincount(word, minlength=number)[word]
+    trained = common[bucket]
+    up, up_back = _mean_matrix(
+        word[trained],
+        np.searchsorted(slots, bucket[trained]),
+        share_of_gram[trained],
+        number,
+        len(slots),
+    )
 
     rng = np.random.default_rng(SEED)
-    embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
+    embedding = rng.normal(0, 0.1, (len(slots), DIMENSIONS))
     softmax = rng.normal(0, 0.1, (DIMENSIONS, 2))
     bias = np.zeros(2)
     parameters = [embedding, softmax, bias]
@@ -152,10 +167,13 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Model:
         gradients = [up_back(over_back(error @ softmax.T)), document.T @ error, error.sum(axis=0)]
         for p, g, m, v in zip(parameters, gradients, first, second):
             m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+            v += 0.01 * (g * g - v)
+            p *= 1 - RATE * DECAY
+            p -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + FLOOR)
     moved = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return Model(embedding @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0] + moved))
+    weight = np.zeros(BUCKETS)
+    weight[slots] = embedding @ (softmax[:, 1] - softmax[:, 0])
+    return Model(weight, float(bias[1] - bias[0] + moved))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -202,16 +220,17 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     """
     picked = docs.select(F.col(text_col).alias("_text"), *keep)
     schema = picked.drop("_text").withColumn("score", F.lit(0.0)).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model(*shared.value)
         for batch in batches:
             sizes = pc.fill_null(pc.utf8_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
             part = np.cumsum(sizes) // STEP_CHARS
             borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
             for low, high in zip(borders, borders[1:]):
                 piece = batch.slice(low, high - low)
-                values = pa.array(shared.value.scores(piece.column(0)))
+                values = pa.array(fitted.scores(piece.column(0)))
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns[1:], values], [*piece.schema.names[1:], "score"]
                 )
