@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from doccluster.llm.decontamination import op7_benchmark_decontamination
 from doccluster.llm.packing import op10_best_fit_packing
 from doccluster.llm.secrets import op5_secret_scans
+from doccluster.llm.sharding import op9_balanced_sharding
 from doccluster.llm.simhash import op1_simhash_near_dedup
 from doccluster.llm.toxicity import op2_toxicity
 
@@ -21,6 +22,7 @@ def llm_queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op5_secret_scans": op5_secret_scans,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op9_balanced_sharding": op9_balanced_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
