@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from doccluster.llm.decontamination import op7_benchmark_decontamination
+from doccluster.llm.fixity import OP3_SQL, op3_warc_merkle_audit
 from doccluster.llm.packing import op10_best_fit_packing
 from doccluster.llm.secrets import op5_secret_scans
 from doccluster.llm.sharding import op9_balanced_sharding
@@ -20,6 +21,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_toxicity": op2_toxicity,
+        "op3_warc_merkle_audit": op3_warc_merkle_audit,
         "op5_secret_scans": op5_secret_scans,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op9_balanced_sharding": op9_balanced_sharding,
@@ -28,4 +30,6 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op3_warc_merkle_audit": OP3_SQL,
+    }
