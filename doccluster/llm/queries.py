@@ -13,6 +13,7 @@ from doccluster.llm.secrets import op5_secret_scans
 from doccluster.llm.sharding import op9_balanced_sharding
 from doccluster.llm.simhash import op1_simhash_near_dedup
 from doccluster.llm.toxicity import op2_toxicity
+from doccluster.llm.url_filters import OP6_SQL, op6_temporal_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,7 @@ def llm_queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op3_warc_merkle_audit": op3_warc_merkle_audit,
         "op5_secret_scans": op5_secret_scans,
+        "op6_temporal_url_filter": op6_temporal_url_filter,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op9_balanced_sharding": op9_balanced_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
@@ -32,4 +34,5 @@ def llm_queries() -> dict[str, Query]:
 def llm_oracles() -> dict[str, str]:
     return {
         "op3_warc_merkle_audit": OP3_SQL,
+        "op6_temporal_url_filter": OP6_SQL,
     }
