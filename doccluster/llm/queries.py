@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from doccluster.llm.decontamination import op7_benchmark_decontamination
 from doccluster.llm.fixity import OP3_SQL, op3_warc_merkle_audit
 from doccluster.llm.licenses import op8_license_scan
+from doccluster.llm.neighbours import op4_nn_descent
 from doccluster.llm.packing import op10_best_fit_packing
 from doccluster.llm.secrets import op5_secret_scans
 from doccluster.llm.sharding import op9_balanced_sharding
@@ -24,6 +25,7 @@ def llm_queries() -> dict[str, Query]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_warc_merkle_audit": op3_warc_merkle_audit,
+        "op4_nn_descent": op4_nn_descent,
         "op5_secret_scans": op5_secret_scans,
         "op6_temporal_url_filter": op6_temporal_url_filter,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
