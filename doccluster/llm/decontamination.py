@@ -181,7 +181,8 @@ def find_phrases(
     """``(phrase, start)`` of all occurrences in one segment.
 
     With ``slop`` each term may stand up to that many words from its place
-    relative to the rarest term, and ``start`` is where the phrase would start.
+    relative to the rarest term, and ``start`` is where the phrase would start,
+    before its document perhaps.
     """
     number = [phrases.number[t] for t in terms]
     order = np.argsort(number)
@@ -194,7 +195,6 @@ def find_phrases(
     )
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for row, start in _places(key, first, size, phrases):
-        row, start = row[start >= 0], start[start >= 0]
         for step in range(1, phrases.term.shape[1]):
             asked = phrases.length[row] > step
             at = start + phrases.offset[row, step]
@@ -263,7 +263,8 @@ def _segment_search(phrases: Phrases, slop: int) -> Callable[[pd.DataFrame], pd.
         rows = pdf[~listed & pdf["term"].isin(phrases.number)]
         row, start = find_phrases(rows["term"].tolist(), rows["postings"].tolist(), phrases, slop)
         base = np.cumsum(words) - words + np.arange(len(words)) * GAP
-        place = np.searchsorted(base, start, "right") - 1
+        anchor = start + phrases.offset[row, 0]
+        place = np.searchsorted(base, anchor, "right") - 1
         return pd.DataFrame(
             {
                 "segment": pdf["segment"].iloc[0],

@@ -80,8 +80,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _shingle(listed: Column, at: Column) -> Column:
-    return F.array_join(F.slice(listed, at + 1, WORDS), " ")
+def _shingles(listed: Column) -> Column:
+    """The shingles of an array of at least five words."""
+    starts = F.sequence(F.lit(1), F.size(listed) - (WORDS - 1))
+    return F.transform(starts, lambda n: F.array_join(F.slice(listed, n, WORDS), " "))
 
 
 def shingle_hashes(listed: Column) -> Column:
@@ -108,9 +110,7 @@ def template_bands(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     listed = rows.select("license", words(F.col("text")).alias("w")).select(
         "license",
         shingle_hashes(F.col("w")).alias("h"),
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(0), F.size("w") - WORDS), lambda n: _shingle(F.col("w"), n))
-        ).alias("shingles"),
+        F.when(F.size("w") >= WORDS, F.array_distinct(_shingles(F.col("w")))).alias("shingles"),
     )
     order = F.array(
         *[
@@ -161,7 +161,7 @@ def scan(
     spark = docs.sparkSession
     # BANDS rows per template, a parameter of this function
     bands = template_bands(spark, templates).collect()
-    if any(r.shingles is None or r.n < 1 for r in bands):
+    if any(r.shingles is None for r in bands):
         raise ValueError(f"templates need {WORDS} words or more")
     scales = {r.license: scale_for(r.n) for r in bands}
     keys = F.array(*[F.lit(k).cast("bigint") for k in sorted({r.hash for r in bands})])
@@ -206,10 +206,7 @@ def scan(
         [(r.license, scales[r.license].size, r.band, r.smallest, r.shingles) for r in bands],
         "license string, size int, band int, smallest bigint, shingles array<string>",
     )
-    own = F.transform(
-        F.sequence(F.lit(0), F.size("words") - WORDS), lambda n: _shingle(F.col("words"), n)
-    )
-    share = F.size(F.array_intersect("shingles", own)) / F.size("shingles")
+    share = F.size(F.array_intersect("shingles", _shingles(F.col("words")))) / F.size("shingles")
     verified = (
         signed.join(F.broadcast(known), ["size", "band", "smallest"])
         .groupBy("uid", "license")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from doccluster.sources.scratch import materialize
 
 SHARDS = 40
-ROUNDS = 6
+ROUNDS = 20
 # Rows of the largest part of a group, and of a range that one task numbers.
 PART_ROWS = 50_000
 RANGE_ROWS = 20_000
@@ -110,17 +110,24 @@ def place_linked(links: DataFrame, quotas: list[int]) -> DataFrame:
     state = materialize(
         links.select("uid", "part", "hub", _bucket(F.col("part"), shards).alias("shard")), "state"
     )
+    closed: set[int] = set()
     for _ in range(ROUNDS):
-        room = [max(0, q - n) for q, n in zip(quotas, _loads(state, shards))]
+        room = [
+            0 if shard in closed else max(0, quota - load)
+            for shard, (quota, load) in enumerate(zip(quotas, _loads(state, shards)))
+        ]
         wanted = materialize(_round(state, room), "wanted")
+        asked = wanted.groupBy("shard").count().collect()
+        # a target that cannot take all who want it is as full as it will get
+        closed |= {r.shard for r in asked if r["count"] > room[r.shard]}
+        if not asked:
+            break
         moves = materialize(
             wanted.join(_accepted(wanted, room), ["shard", "bucket"]).select(
                 F.col("uid").alias("moved"), F.col("shard").alias("target")
             ),
             "moves",
         )
-        if moves.isEmpty():
-            break
         state = materialize(
             state.join(moves, F.col("uid") == F.col("moved"), "left").select(
                 "uid", "part", "hub", F.coalesce("target", "shard").alias("shard")

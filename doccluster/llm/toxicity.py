@@ -212,14 +212,20 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Model:
     return train(texts, toxic, prior)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row and its ``score`` between 0 and 1.
+def score(
+    docs: DataFrame,
+    model: Model,
+    keep: tuple[str, ...] = ("doc_id",),
+    text_col: str = "text",
+    out: str = "score",
+) -> DataFrame:
+    """The columns ``keep`` of every row and its score between 0 and 1, as ``out``.
 
     The whole text counts. A null text or one without words gets the score of
     the bias alone, the prior share of toxic rows about.
     """
     picked = docs.select(F.col(text_col).alias("_text"), *keep)
-    schema = picked.drop("_text").withColumn("score", F.lit(0.0)).schema
+    schema = picked.drop("_text").withColumn(out, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +238,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
                 piece = batch.slice(low, high - low)
                 values = pa.array(fitted.scores(piece.column(0)))
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[1:], values], [*piece.schema.names[1:], "score"]
+                    [*piece.columns[1:], values], [*piece.schema.names[1:], out]
                 )
 
     return picked.mapInArrow(run, schema)
@@ -252,5 +258,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score at the threshold or above."""
-    scored = score(docs.withColumn("_scored", F.col(text_col)), model, tuple(docs.columns), "_scored")
-    return scored.filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    texts = docs.withColumn("_scored", F.col(text_col))
+    scored = score(texts, model, tuple(docs.columns), "_scored", "_score")
+    return scored.filter(F.col("_score") < THRESHOLD).select(*docs.columns)
