@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from doccluster.functions.text import tokenize_raw
+from doccluster.operators.stats import term_frequency_raw
 
 # --- fixed values -----------------------------------------------------------
 NUM_FEATURES = 1 << 20
@@ -32,6 +33,28 @@ def idf(vectors: DataFrame) -> DataFrame:
     return model.transform(vectors).select("doc_id", "features")
 
 
+def term_idf(docs: DataFrame) -> DataFrame:
+    """``(term, df, idf)`` of every raw token: the fitted weights, term by term.
+
+    ``ln((N + 1) / (df + 1))``, the rule of the hashed form above, which merges
+    the terms of a bucket.
+    """
+    terms = docs.select(F.explode(F.array_distinct(tokenize_raw(F.col("text")))).alias("term"))
+    total = docs.agg(F.count("*")).scalar()
+    return (
+        terms.groupBy("term")
+        .agg(F.count("*").alias("df"))
+        .withColumn("idf", F.log((total + 1) / (F.col("df") + 1)))
+    )
+
+
+def tfidf_weights(docs: DataFrame) -> DataFrame:
+    """``(doc_id, term, weight)``: TF-IDF vectors term by term."""
+    return term_frequency_raw(docs).join(term_idf(docs).select("term", "idf"), "term").select(
+        "doc_id", "term", (F.col("tf") * F.col("idf")).alias("weight")
+    )
+
+
 def tfidf_vectors(docs: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
     """``(doc_id, features)``: raw tokens, hashed and rescaled."""
     return idf(hashed_tf(docs, num_features))

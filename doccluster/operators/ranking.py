@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doccluster.sources.scratch import materialize
+
 # Rows per chunk that dense_position aims for; one task sees the chunk totals only.
 CHUNK_ROWS = 65536
 # Values that exact_median may fetch for its last step.
@@ -16,23 +18,15 @@ ACCURACY = 10_000
 def dense_position(df: DataFrame, id_col: str, out: str) -> DataFrame:
     """Add ``out``: the 0-based rank of the unique ``id_col`` over the whole table.
 
-    Ids fall into equal-width ranges. Rows are numbered inside their range,
-    and a running total of the range sizes (one row per range, about one per
+    Ids fall into ranges whose borders Spark measures, so ranges are of like
+    size however the ids are spread. Rows are numbered inside their range, and a
+    running total of the range sizes (one row per range, about one per
     CHUNK_ROWS ids) gives each range its offset.
     """
-    limits = df.agg(
-        F.struct(
-            F.min(id_col).cast("double").alias("low"),
-            F.greatest(
-                (F.max(id_col).cast("double") - F.min(id_col).cast("double"))
-                / F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.lit(1)),
-                F.lit(1.0),
-            ).alias("width"),
-        ).alias("limits")
-    ).scalar()
-    ranged = df.withColumn("_limits", limits).withColumn(
-        "_range",
-        F.floor((F.col(id_col).cast("double") - F.col("_limits.low")) / F.col("_limits.width")),
+    ranges = max(1, -(-df.count() // CHUNK_ROWS))
+    # written, as the borders are measured anew each time the plan runs
+    ranged = materialize(
+        df.repartitionByRange(ranges, id_col).withColumn("_range", F.spark_partition_id()), "ranged"
     )
     totals = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from doccluster.functions.text import STOPWORDS
 from doccluster.operators.evaluation import METRICS
-from doccluster.queries import FEATURES, NEIGHBORS, PREFERENCE, ROUNDS
+from doccluster.queries import FEATURES, FREY_PREFERENCE, NEIGHBORS, PREFERENCE, ROUNDS
 
 STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(STOPWORDS))
 TRIM = r"regexp_replace(lower(text), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
@@ -55,20 +55,29 @@ def smooth(x: str) -> str:
 
 
 CELLS = """cells AS (
-  SELECT c.term, c.df / n.n AS p_ct, s.n_docs / n.n AS p_c,
+  SELECT c.cate, c.term, c.df, c.df / n.n AS p_ct, s.n_docs / n.n AS p_c,
          sum(c.df) OVER (PARTITION BY c.term) / n.n AS p_t
   FROM cdf c JOIN sizes s USING (cate), (SELECT count(*)::DOUBLE AS n FROM documents) n),
 terms4 AS (
-  SELECT term, p_ct, p_c - p_ct AS p_cnt, p_c * p_t AS e_t, p_c * (1 - p_t) AS e_nt FROM cells)"""
+  SELECT cate, term, df, p_ct, p_c - p_ct AS p_cnt, p_c * p_t AS e_t, p_c * (1 - p_t) AS e_nt
+  FROM cells)"""
+LIG = f"abs({smooth('p_ct')} - {smooth('e_t')}) + abs({smooth('p_cnt')} - {smooth('e_nt')})"
+IG = f"p_ct * {ratio_log('p_ct', 'e_t')} + p_cnt * {ratio_log('p_cnt', 'e_nt')}"
+# every (category, term) with its term's scores, in one pass over the cells
+SCORED = f"""scored AS MATERIALIZED (
+  SELECT cate, term, df, sum({LIG}) OVER (PARTITION BY term) AS lig,
+         sum({IG}) OVER (PARTITION BY term) AS ig FROM terms4)"""
 SCORES = f"""scores AS MATERIALIZED (
-  SELECT term,
-    sum(abs({smooth('p_ct')} - {smooth('e_t')}) + abs({smooth('p_cnt')} - {smooth('e_nt')})) AS lig,
-    sum(p_ct * {ratio_log('p_ct', 'e_t')} + p_cnt * {ratio_log('p_cnt', 'e_nt')}) AS ig
-  FROM terms4 GROUP BY term)"""
+  SELECT term, sum({LIG}) AS lig, sum({IG}) AS ig FROM terms4 GROUP BY term)"""
 
+TERM_IDF = (
+    "idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1))"
+    " AS idf FROM tf GROUP BY term)"
+)
 RAW_BASE = (norm(), RAW, RAW_TF, DOC)
 CAT_BASE = (norm(), FILT, CAT_TF, CDF, SIZES)
 SCORE_BASE = (*CAT_BASE, CELLS, SCORES)
+SCORED_BASE = (*CAT_BASE, CELLS, SCORED)
 
 
 def r6(x: str, name: str) -> str:
@@ -101,10 +110,11 @@ FEATURE_SET = (
 )
 
 
-def df_lig(source: str) -> str:
+def df_lig(selected: bool) -> str:
+    place = "dense_rank() OVER (ORDER BY lig DESC, term)" if selected else "0"
     return (
-        "dl AS (SELECT c.cate, c.term, c.df * f.lig AS weight"
-        f" FROM cdf c JOIN {source} f USING (term))"
+        "dl AS (SELECT cate, term, df * lig AS weight FROM"
+        f" (SELECT *, {place} AS place FROM scored) WHERE place <= {FEATURES})"
     )
 
 
@@ -115,10 +125,9 @@ RANKED = (
 LABELS = f"SELECT cate, rank, term, {r6('weight', 'weight')} FROM ranked WHERE rank <= 10"
 
 
-def label_sql(cate: str, source: str, select: str) -> str:
-    base = (norm(cate), *SCORE_BASE[1:])
-    extra = (FEATURE_SET,) if source == "features" else ()
-    return with_ctes(*base, *extra, df_lig(source), RANKED, select=select)
+def label_sql(cate: str, selected: bool, select: str) -> str:
+    base = (norm(cate), *SCORED_BASE[1:])
+    return with_ctes(*base, df_lig(selected), RANKED, select=select)
 
 
 # --- similarity -------------------------------------------------------------
@@ -158,6 +167,20 @@ matrix AS MATERIALIZED (
   LEFT JOIN common ON common.i = a.doc_id AND common.k = b.doc_id)"""
 
 
+FREY_RANKED = (
+    "(SELECT m.i, m.k, CASE WHEN m.i = m.k THEN -lv * len - ("
+    f"{FREY_PREFERENCE}) ELSE s END AS s FROM matrix m JOIN doc ON doc_id = m.i, vocabulary)"
+)
+
+
+def frey_messages(own: str) -> str:
+    """The pruned edges to others, and one edge of every document to itself."""
+    return (
+        "messages AS MATERIALIZED (SELECT i, k, s FROM best WHERE i <> k"
+        f" UNION ALL SELECT doc_id, doc_id, {own} FROM doc, vocabulary)"
+    )
+
+
 GIVEN_DIAGONAL = f"-lv * a.len - {PREFERENCE}"
 FREY_ROWS = (
     f"SELECT i, k, {r6('s', 's')} FROM matrix WHERE own_row UNION ALL "
@@ -343,9 +366,7 @@ TERM_SCORES = with_ctes(
     *SCORE_BASE, select=f"SELECT term, {r6('lig', 'lig')}, {r6('ig', 'ig')} FROM scores"
 )
 CATEGORY_SCORES = with_ctes(
-    *SCORE_BASE,
-    select=f"SELECT cate, term, {r6('lig', 'lig')}, {r6('ig', 'ig')}"
-    " FROM cdf JOIN scores USING (term)",
+    *SCORED_BASE, select=f"SELECT cate, term, {r6('lig', 'lig')}, {r6('ig', 'ig')} FROM scored"
 )
 
 
@@ -358,6 +379,16 @@ def positions(tokens: str) -> str:
 
 
 def all_oracles() -> dict[str, str]:
+    found = single_oracles()
+    # whole jobs, read back
+    return found | {
+        "write_cluster_labels": found["cluster_labels_nested"],
+        "write_ap_clusters": found["ap_clusters"],
+        "write_kmeans_assignments": found["kmeans_assignments"],
+    }
+
+
+def single_oracles() -> dict[str, str]:
     return {
         "normalize_text": with_ctes(norm(), select="SELECT doc_id, text FROM norm"),
         "tokenize_raw": positions(RAW_TOKENS),
@@ -406,17 +437,17 @@ def all_oracles() -> dict[str, str]:
             *SCORE_BASE, FEATURE_SET, select=f"SELECT term, {r6('lig', 'lig')} FROM features"
         ),
         "df_lig": with_ctes(
-            *SCORE_BASE, df_lig("scores"),
+            *SCORED_BASE, df_lig(selected=False),
             select=f"SELECT cate, term, {r6('weight', 'weight')} FROM dl",
         ),
         "df_lig_selected": with_ctes(
-            *SCORE_BASE, FEATURE_SET, df_lig("features"),
+            *SCORED_BASE, df_lig(selected=True),
             select=f"SELECT cate, term, {r6('weight', 'weight')} FROM dl",
         ),
-        "cluster_labels": label_sql("lang", "scores", LABELS),
-        "cluster_labels_by_source": label_sql("source", "features", LABELS),
+        "cluster_labels": label_sql("lang", False, LABELS),
+        "cluster_labels_by_source": label_sql("source", True, LABELS),
         "cluster_labels_nested": label_sql(
-            "lang", "scores",
+            "lang", False,
             "SELECT cate, string_agg(term, ' ' ORDER BY rank) AS labels"
             " FROM ranked WHERE rank <= 10 GROUP BY cate",
         ),
@@ -449,9 +480,14 @@ def all_oracles() -> dict[str, str]:
             *pruned_clusters(PRUNED_SQUARED, "best", median("best")), select=ASSIGNED
         ),
         "cluster_documents_ap_frey": with_ctes(
-            *PRUNED_FREY, directed("best", "messages", symmetric=False),
+            *PAIR_BASE, frey_matrix("NULL"), top_n(FREY_RANKED, NEIGHBORS),
+            frey_messages(f"-lv * len - ({FREY_PREFERENCE})"),
             *propagation("messages", ROUNDS), select=ASSIGNED,
         ),
+        "cluster_documents_ap_frey_auto": with_ctes(
+            *PAIR_BASE, frey_matrix("0.0"), top_n("matrix", NEIGHBORS),
+            frey_messages(median("best")), *propagation("messages", ROUNDS), select=ASSIGNED,
+        ),
         "ap_clusters": with_ctes(
             *COSINE_CLUSTERS,
             select="SELECT cluster_id, exemplar, doc_id >> 16 AS chunk,"
@@ -463,6 +499,13 @@ def all_oracles() -> dict[str, str]:
         ),
         "ap_topn_sweep_system": sweep_sql("system"),
         "ap_topn_sweep_result": sweep_sql("result"),
+        "idf": with_ctes(*RAW_BASE, TERM_IDF, select="SELECT term, df, round(idf, 6) + 0.0 AS idf FROM idf"),
+        "tfidf_vectors": with_ctes(
+            *RAW_BASE, TERM_IDF,
+            select="SELECT doc_id, term, round(tf * idf, 6) + 0.0 AS weight FROM tf JOIN idf USING (term)",
+        ),
+        "kmeans": "SELECT count(*) AS n_docs, 4 AS k, true AS ids_fit, true AS cost_fits FROM documents",
+        "kmeans_assignments": "SELECT doc_id, true AS id_fits FROM documents",
         "hashed_tf": with_ctes(
             norm(), select=f"SELECT doc_id, len({RAW_TOKENS}) AS len FROM norm"
         ),

@@ -74,17 +74,22 @@ def cluster_documents_ap(
 
     ``similarity`` is C, E or F; ``preference`` a number or ``"auto"`` (the
     median similarity). Pruned graphs and Frey-Dueck graphs are directed.
-    Documents without any edge take no part and get no cluster.
+    Frey-Dueck similarity has a value for every ordered pair of documents, so it
+    needs ``pruned`` and ``top_n``, which rank the whole matrix; every document
+    keeps its preference besides. Documents without any edge take no part and
+    get no cluster.
     """
     if similarity not in SIMILARITIES:
         raise ValueError(f"similarity must be one of {SIMILARITIES}, not {similarity!r}")
     if pruned and top_n is None:
         raise ValueError("a pruned graph needs top_n")
+    if similarity == "F" and not pruned:
+        raise ValueError("Frey-Dueck similarity relates all pairs: prune it to top_n")
     limit = top_n if pruned else None
     if similarity == "F":
         given = None if preference == AUTO else float(preference)
-        edges = frey_similarity(docs, given, limit, num_partitions)
-        edges = materialize(edges.filter(F.col("k").isNotNull()), "edges")
+        edges = frey_similarity(docs, given, limit, num_partitions, keep_self=True)
+        edges = materialize(edges, "edges")
         if preference == AUTO:
             edges = auto_preferences(edges)
         return affinity_propagation(edges, max_iter, symmetric=False)

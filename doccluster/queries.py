@@ -15,6 +15,7 @@ from doccluster.functions.text import normalize_text, tokenize_filtered, tokeniz
 from doccluster.operators import evaluation, kmeans, labeling, propagation, similarity, stats
 from doccluster.operators import weighting
 from doccluster.plans.clustering import ap_topn_sweep, cluster_documents_ap
+from doccluster.plans.jobs import write_ap_clusters, write_cluster_labels, write_kmeans_assignments
 from doccluster.plans.term_weights import write_term_scores, write_tf_icdf, write_tf_lig
 from doccluster.sources.readers import (
     docs_from_table,
@@ -31,8 +32,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 ROUNDS = 10
 NEIGHBORS = 10
+CENTERS = 4
 FEATURES = 500
 PREFERENCE = 100.0
+# Under this one some documents, and not all, are exemplars.
+FREY_PREFERENCE = -200.0
 LINE_BREAKS = r"[\r\n]+"
 
 
@@ -149,7 +153,10 @@ def ap_by(measure: str, preference: float | str) -> Callable[[DataFrame], DataFr
 
 
 def ap_clusters(df: DataFrame) -> DataFrame:
-    clusters = propagation.cluster_members(ap_by("C", "auto")(df))
+    return listed_members(propagation.cluster_members(ap_by("C", "auto")(df)))
+
+
+def listed_members(clusters: DataFrame) -> DataFrame:
     members = F.array_join(F.transform("members", lambda m: m.cast("string")), " ")
     return clusters.select("cluster_id", "exemplar", "chunk", members.alias("members"))
 
@@ -172,11 +179,6 @@ def sweep(part: int) -> Query:
 # --- k-means ----------------------------------------------------------------
 
 
-def vector_sizes(vectors: DataFrame, column: str) -> DataFrame:
-    parts = F.unwrap_udt(column)
-    return vectors.select("doc_id", F.size(parts["indices"]).cast("bigint").alias("n_nonzero"))
-
-
 def hashed_tf(df: DataFrame) -> DataFrame:
     values = F.unwrap_udt("tf")["values"]
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
@@ -184,23 +186,31 @@ def hashed_tf(df: DataFrame) -> DataFrame:
 
 
 def idf(df: DataFrame) -> DataFrame:
-    return vector_sizes(kmeans.idf(kmeans.hashed_tf(df)), "features")
+    return kmeans.term_idf(df).select("term", "df", rounded("idf", "idf"))
 
 
 def tfidf_vectors(df: DataFrame) -> DataFrame:
-    return vector_sizes(kmeans.tfidf_vectors(df), "features")
+    return weights(kmeans.tfidf_weights(df))
 
 
 def kmeans_assignments(df: DataFrame) -> DataFrame:
     features = materialize(kmeans.tfidf_vectors(df), "features")
-    model = kmeans.kmeans(features, k=4, max_iter=10, seed=7)
-    return kmeans.kmeans_assignments(model, features)
+    model = kmeans.kmeans(features, k=CENTERS, max_iter=10, seed=7)
+    return kmeans.kmeans_assignments(model, features).select(
+        "doc_id", F.col("cluster_id").between(0, CENTERS - 1).alias("id_fits")
+    )
 
 
-def kmeans_sizes(df: DataFrame) -> DataFrame:
+def kmeans_summary(df: DataFrame) -> DataFrame:
+    """What holds for any start: all documents assigned, and no more cost with more runs."""
     features = materialize(kmeans.tfidf_vectors(df), "features")
-    model = kmeans.kmeans(features, k=4, max_iter=10, runs=2, seed=7)
-    return evaluation.cluster_sizes(kmeans.kmeans_assignments(model, features))
+    one, best = (kmeans.kmeans(features, k=CENTERS, max_iter=10, runs=n, seed=7) for n in (1, 2))
+    return kmeans.kmeans_assignments(best, features).agg(
+        F.count("*").alias("n_docs"),
+        F.lit(len(best.clusterCenters())).alias("k"),
+        F.min(F.col("cluster_id").between(0, CENTERS - 1)).alias("ids_fit"),
+        F.lit(best.summary.trainingCost <= one.summary.trainingCost).alias("cost_fits"),
+    )
 
 
 # --- evaluation -------------------------------------------------------------
@@ -344,6 +354,28 @@ def vector_job(write: Callable[..., None], *options) -> Query:
     return run
 
 
+def write_labels_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "labels")
+    write_cluster_labels(cat_docs(spark, sf_dir), path)
+    return spark.read.parquet(path).select(
+        "cate", F.array_join(F.transform("labels", lambda t: t["term"]), " ").alias("labels")
+    )
+
+
+def write_ap_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ap-clusters")
+    write_ap_clusters(docs(spark, sf_dir), path, "C", "auto", ROUNDS, top_n=NEIGHBORS)
+    return listed_members(spark.read.parquet(path))
+
+
+def write_kmeans_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "kmeans")
+    write_kmeans_assignments(docs(spark, sf_dir), path, CENTERS, 10, seed=7)
+    return spark.read.parquet(path).select(
+        "doc_id", F.col("cluster_id").between(0, CENTERS - 1).alias("id_fits")
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         # text
@@ -425,7 +457,8 @@ def all_queries() -> dict[str, Query]:
         "affinity_propagation": over_docs(full_affinity_propagation),
         "cluster_documents_ap_cosine": over_docs(ap_by("C", "auto")),
         "cluster_documents_ap_euclidean": over_docs(ap_by("E", "auto")),
-        "cluster_documents_ap_frey": over_docs(ap_by("F", PREFERENCE)),
+        "cluster_documents_ap_frey": over_docs(ap_by("F", FREY_PREFERENCE)),
+        "cluster_documents_ap_frey_auto": over_docs(ap_by("F", "auto")),
         "ap_clusters": over_docs(ap_clusters),
         "ap_assignments": over_docs(ap_assignments),
         "ap_topn_sweep_system": sweep(0),
@@ -433,7 +466,7 @@ def all_queries() -> dict[str, Query]:
         "hashed_tf": over_docs(hashed_tf),
         "idf": over_docs(idf),
         "tfidf_vectors": over_docs(tfidf_vectors),
-        "kmeans": over_docs(kmeans_sizes),
+        "kmeans": over_docs(kmeans_summary),
         "kmeans_assignments": over_docs(kmeans_assignments),
         # evaluation
         "contingency_table": scored(evaluation.contingency_table),
@@ -465,4 +498,7 @@ def all_queries() -> dict[str, Query]:
         "write_term_scores_tfig": term_score_job("tfig", weight=True),
         "write_tf_lig": vector_job(write_tf_lig),
         "write_tf_icdf": vector_job(write_tf_icdf, FEATURES),
+        "write_cluster_labels": write_labels_job,
+        "write_ap_clusters": write_ap_job,
+        "write_kmeans_assignments": write_kmeans_job,
     }

@@ -22,10 +22,8 @@ def _parse_lines(lines: DataFrame, categorized: bool) -> DataFrame:
 
 
 def _at_least(df: DataFrame, min_partitions: int | None) -> DataFrame:
-    """Spread a scan with fewer partitions than asked; leave any other alone."""
-    if min_partitions is None or df.rdd.getNumPartitions() >= min_partitions:
-        return df
-    return df.repartition(min_partitions)
+    """Spread a scan over so many partitions where the caller asks for it."""
+    return df if min_partitions is None else df.repartition(min_partitions)
 
 
 def _well_formed() -> Column:

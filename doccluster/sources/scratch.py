@@ -7,23 +7,33 @@ the optimizer sees the real size of the table.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders of the jobs that are running, the outermost first.
+_scopes: list[str] = []
+
 
 @functools.lru_cache(maxsize=None)
 def _local_root(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="doccluster-")
+    root = tempfile.mkdtemp(prefix="doccluster-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``, or the context's own setting.
 
     A temporary folder is used only where neither is set and Spark runs in
-    local mode; a cluster without a shared folder is an error.
+    local mode, and goes with the process; a cluster without a shared folder is
+    an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
@@ -35,7 +45,27 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder."""
-    return f"{checkpoint_root(spark)}/doccluster/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return "/".join([checkpoint_root(spark), "doccluster", *_scopes])
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables made inside when a job ends or fails.
+
+    DataFrames that read them are of no use afterwards: write results inside.
+    """
+    _scopes.append(f"job-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        sc = spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _scopes.pop()
 
 
 def write_scratch(df: DataFrame, path: str) -> DataFrame:

@@ -119,14 +119,22 @@ def topic_docs(docs_of):
 @pytest.mark.parametrize("similarity, preference", [("C", 0.5), ("C", "auto"), ("F", 1.0), ("F", "auto")])
 def test_clusters_follow_topics(topic_docs, similarity, preference):
     rounds = 15 if preference == 0.5 else 3
-    rows = cluster_documents_ap(topic_docs, similarity, preference, rounds).collect()
+    pruned = {"pruned": True, "top_n": 4} if similarity == "F" else {}
+    rows = cluster_documents_ap(topic_docs, similarity, preference, rounds, **pruned).collect()
     assert len(rows) == 12
     if (similarity, preference) == ("C", 0.5):
         assert {(r.doc_id // 10, r.exemplar // 10) for r in rows} == {(t, t) for t in range(3)}
         assert {r.cluster_id for r in rows} == {0, 1, 2}
 
 
+def test_a_node_without_preference_is_an_error(spark):
+    with pytest.raises(ValueError, match="self edge"):
+        propagation.affinity_propagation(graph(spark, [(1, 1, 0.5), (1, 2, 0.3)]), 2)
+
+
 def test_bad_arguments(topic_docs):
+    with pytest.raises(ValueError, match="top_n"):
+        cluster_documents_ap(topic_docs, "F", "auto", 5)
     with pytest.raises(ValueError):
         cluster_documents_ap(topic_docs, "X", "auto", 5)
     with pytest.raises(ValueError):

@@ -17,6 +17,18 @@ def test_positions_follow_id_order(spark, monkeypatch, spread):
     assert sorted(r.position for r in rows) == list(range(100))
 
 
+def test_one_outlying_id_leaves_ranges_even(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CHUNK_ROWS", 100)
+    ids = [*range(2000), 1 << 62]
+    df = spark.createDataFrame([(n,) for n in ids], "id bigint")
+    found = []
+    keep = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda d, n: found.append(keep(d, n)) or found[-1])
+    rows = dense_position(df, "id", "position").collect()
+    assert sorted((r.id, r.position) for r in rows) == list(zip(ids, range(2001)))
+    assert max(r["count"] for r in found[0].groupBy("_range").count().collect()) <= 300
+
+
 def test_positions_of_nothing_and_of_one(spark):
     assert dense_position(spark.createDataFrame([], "id bigint"), "id", "p").count() == 0
     assert dense_position(spark.createDataFrame([(9,)], "id bigint"), "id", "p").first().p == 0

@@ -1,5 +1,6 @@
 import pytest
 
+from doccluster.plans import jobs
 from doccluster.sources import readers, scratch, writers
 
 
@@ -77,3 +78,18 @@ def test_materialized_table_reads_back(spark):
     df = scratch.materialize(spark.range(3), "numbers")
     assert sorted(r.id for r in df.collect()) == [0, 1, 2]
     assert all("/doccluster/numbers-" in f for f in df.inputFiles())
+
+
+def test_report_lines_keep_all_columns(spark, tmp_path):
+    path = str(tmp_path / "report")
+    df = spark.createDataFrame([("c", None, 2, None)], "a string, b double, n int, t string")
+    writers.append_report(df, path)
+    assert [r.value for r in spark.read.text(path).collect()] == ["c\tNaN\t2\t"]
+
+
+def test_a_job_leaves_no_scratch_tables(spark, docs_of, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "checkpoint_root", lambda _: str(tmp_path / "scratch"))
+    docs = docs_of({n: f"{'red green' if n % 2 else 'blue grey'} w{n % 4}" for n in range(8)})
+    jobs.write_ap_clusters(docs, str(tmp_path / "out"), "C", "auto", 2, top_n=3)
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+    assert not any((tmp_path / "scratch" / "doccluster").iterdir())
