@@ -362,3 +362,35 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text")
     )
     hit = materialize(found.filter("n_hit > 0").select(F.col("doc_id").alias("_uid")), "hit")
     return numbered.join(hit, "_uid", "left_anti").select(*docs.columns)
+
+
+def _sql_words(text: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '{pattern}')"
+
+
+OP7_SQL = f"""
+WITH doc AS (SELECT doc_id, {_sql_words('text')} AS l FROM documents),
+item AS (SELECT item_id, {_sql_words('text')} AS l FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, array_to_string(l[n:n + 9], ' ') AS t, least(len(l), 10) AS k
+  FROM (SELECT item_id, l, unnest(range(1, greatest(len(l) - 9, 1) + 1)) AS n FROM item WHERE len(l) > 0)
+), place AS (
+  SELECT doc_id, k, unnest(list_transform(range(1, len(l) - k + 2), lambda n: array_to_string(l[n:n + k - 1], ' '))) AS t,
+         unnest(range(1, len(l) - k + 2)) AS n
+  FROM doc, (SELECT DISTINCT k FROM win)
+), hit AS (
+  SELECT p.doc_id, p.n, p.k, w.item_id FROM place p JOIN win w ON w.k = p.k AND w.t = p.t
+), counted AS (
+  SELECT doc_id, count(DISTINCT x) AS n_hit
+  FROM (SELECT doc_id, unnest(range(n, n + k)) AS x FROM hit) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.l)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN named i ON i.doc_id = d.doc_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccluster.llm.decontamination import op7_benchmark_decontamination
+from doccluster.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from doccluster.llm.fixity import OP3_SQL, op3_warc_merkle_audit
 from doccluster.llm.licenses import op8_license_scan
 from doccluster.llm.neighbours import op4_nn_descent
@@ -39,4 +39,5 @@ def llm_oracles() -> dict[str, str]:
     return {
         "op3_warc_merkle_audit": OP3_SQL,
         "op6_temporal_url_filter": OP6_SQL,
+        "op7_benchmark_decontamination": OP7_SQL,
     }
