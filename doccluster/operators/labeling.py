@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doccluster.operators.stats import category_term_df
-from doccluster.operators.weighting import join_selected, select_top, term_scores
+from doccluster.operators.weighting import (
+    join_selected,
+    select_top,
+    term_scores,
+    written_cdf,
+)
 
 # --- fixed values -----------------------------------------------------------
 LABELS_PER_CLUSTER = 10
@@ -21,11 +25,12 @@ def select_features_by_lig(scores: DataFrame, n: int) -> DataFrame:
 
 def df_lig(cat_docs: DataFrame, num_features: int | str = ALL_FEATURES) -> DataFrame:
     """``df(c,t) * lig(t)`` as ``(cate, term, weight)``, for all or the best terms."""
-    scores = term_scores(cat_docs).select("term", "lig")
+    cdf = written_cdf(cat_docs, None)
+    scores = term_scores(cat_docs, cdf=cdf).select("term", "lig")
     small = False
     if num_features != ALL_FEATURES:
         scores, small = select_top(scores, int(num_features), F.desc("lig"), F.col("term"))
-    return join_selected(category_term_df(cat_docs), scores, small, ["term"]).select(
+    return join_selected(cdf, scores, small, ["term"]).select(
         "cate", "term", (F.col("df") * F.col("lig")).alias("weight")
     )
 

@@ -1,8 +1,10 @@
 """Term weighting: local information gain, information gain and their TF products.
 
 The corpus-sized table in every weighting is the postings table ``tf``; it is
-shuffled once, for the join that brings the term's score. Score tables have one
-row per (category, term) or term and are aggregated before they move.
+written once, so the texts are tokenised once, and shuffled once, for the join
+that brings the term's score. Score tables have one row per (category, term) or
+term and are aggregated before they move; category sizes are written, so that
+the join by category knows their real size.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from doccluster.operators.stats import (
     corpus_size,
     term_frequency,
 )
+from doccluster.sources.scratch import materialize
 
 # A selection of at most this many rows is joined by broadcast.
 BROADCAST_ROWS = 100_000
@@ -34,18 +37,35 @@ def _guarded_log(x: Column) -> Column:
     return F.when(x > 0, F.log(x)).otherwise(F.lit(0.0))
 
 
-def term_scores(cat_docs: DataFrame, tf: DataFrame | None = None) -> DataFrame:
+def written_tf(cat_docs: DataFrame, tf: DataFrame | None) -> DataFrame:
+    """``tf`` if there is one, else the documents' postings, written."""
+    return materialize(term_frequency(cat_docs), "tf") if tf is None else tf
+
+
+def written_cdf(cat_docs: DataFrame, tf: DataFrame | None) -> DataFrame:
+    """Document frequencies per category and term, written."""
+    return materialize(category_term_df(cat_docs, tf), "cdf")
+
+
+def written_sizes(cat_docs: DataFrame) -> DataFrame:
+    return materialize(category_size(cat_docs), "category-sizes")
+
+
+def term_scores(
+    cat_docs: DataFrame, tf: DataFrame | None = None, cdf: DataFrame | None = None
+) -> DataFrame:
     """``(term, lig, ig)`` of every filtered term.
 
     Both sums run over the categories that hold the term. One shuffle by term
     serves the document frequency and both sums; a term's group has at most
-    one row per category.
+    one row per category. Written tables ``tf`` or ``cdf`` of the same documents
+    save tokenising them again.
     """
+    cdf = category_term_df(cat_docs, tf) if cdf is None else cdf
     n = corpus_size(cat_docs).scalar()
     by_term = Window.partitionBy("term")
     cells = (
-        category_term_df(cat_docs, tf)
-        .join(category_size(cat_docs), "cate")
+        cdf.join(written_sizes(cat_docs), "cate")
         .select(
             "term",
             (F.sum("df").over(by_term) / n).alias("p_t"),
@@ -83,13 +103,9 @@ def category_term_scores(
     cat_docs: DataFrame, scores: DataFrame | None = None, tf: DataFrame | None = None
 ) -> DataFrame:
     """``(cate, term, lig, ig)`` of the terms each category uses."""
-    scores = term_scores(cat_docs, tf) if scores is None else scores
-    return (
-        category_term_df(cat_docs, tf)
-        .select("cate", "term")
-        .join(scores, "term")
-        .select("cate", "term", "lig", "ig")
-    )
+    cdf = written_cdf(cat_docs, tf)
+    scores = term_scores(cat_docs, cdf=cdf) if scores is None else scores
+    return cdf.select("cate", "term").join(scores, "term").select("cate", "term", "lig", "ig")
 
 
 def tf_icdf(
@@ -100,12 +116,12 @@ def tf_icdf(
     ``top_n`` keeps only the (category, term) pairs with the largest document
     frequency over the whole corpus, so a category can end up without terms.
     """
+    tf = written_tf(cat_docs, tf)
     cdf = category_term_df(cat_docs, tf)
-    tf = term_frequency(cat_docs) if tf is None else tf
     small = False
     if top_n is not None:
         cdf, small = select_top(cdf, top_n, F.desc("df"), F.col("cate"), F.col("term"))
-    icdf = cdf.join(category_size(cat_docs), "cate").select(
+    icdf = cdf.join(written_sizes(cat_docs), "cate").select(
         "cate", "term", F.log(F.col("n_docs") / F.col("df")).alias("icdf")
     )
     return join_selected(tf, icdf, small, ["cate", "term"]).select(
@@ -120,8 +136,8 @@ def _tf_times(
     tf: DataFrame | None,
     scores: DataFrame | None,
 ) -> DataFrame:
+    tf = written_tf(cat_docs, tf)
     scores = term_scores(cat_docs, tf) if scores is None else scores
-    tf = term_frequency(cat_docs) if tf is None else tf
     return tf.join(scores.select("term", score), "term").select(
         "cate", "doc_id", "term", (factor * F.col(score)).alias("weight")
     )
