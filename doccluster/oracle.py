@@ -353,11 +353,11 @@ def sweep_sql(part: str) -> str:
         )
         if part == "system":
             assignments = assignment_text(p + "system")
-            selects.append(f"{head}, {assignments} AS assignments, 0::BIGINT AS chunk")
+            selects.append(f"{head}, {assignments} AS assignments")
         else:
             ctes += metric_ctes(f"{p}system", "gold", p)
             columns = ", ".join(r6(m, m) for m in METRICS)
-            selects.append(f"{head}, {columns}, 0::BIGINT AS chunk FROM {p}metrics")
+            selects.append(f"{head}, {columns} FROM {p}metrics")
     return with_ctes(*ctes, select=" UNION ALL ".join(selects))
 
 

@@ -28,6 +28,7 @@ from doccluster.operators.similarity import (
     top_n_neighbors,
 )
 from doccluster.sources.scratch import materialize
+from doccluster.sources.writers import append_report
 
 # --- fixed values -----------------------------------------------------------
 # Similarities: F (Frey-Dueck), E (Euclidean), C (cosine).
@@ -139,7 +140,10 @@ def _sweep_setting(
         .select(*head, "assignments", "chunk")
     )
     metrics = [F.lit(scores[m]).cast("double").alias(m) for m in METRICS]
-    return system, sizes.select(*head, *metrics, "chunk")
+    # the line of a setting holds one number per cluster, from one row per chunk
+    in_order = F.array_sort(F.collect_list(F.struct("chunk", "sizes")))
+    line = sizes.agg(F.array_join(F.transform(in_order, lambda c: c["sizes"]), "|").alias("sizes"))
+    return system, line.select(*head, *metrics)
 
 
 def ap_topn_sweep(
@@ -155,9 +159,9 @@ def ap_topn_sweep(
     """Cluster with each pruning setting and score it: ``(system, result)`` rows.
 
     Settings ``start`` to ``end`` index SWEEP_TAGS. The similarity edges are
-    computed once. Size and assignment lists are cut into chunks, one row
-    each; up to 65,536 documents that is one row per setting. Append the rows
-    to report files with ``append_report``.
+    computed once. ``result`` has one row per setting. The lists of ``system``
+    are cut into chunks of document positions, one row each, and carry no
+    metrics. ``append_sweep_reports`` writes both.
     """
     edges = materialize(cosine_similarity(docs), "edges")
     last = min(end, len(SWEEP_TAGS) - 1)
@@ -167,3 +171,9 @@ def ap_topn_sweep(
     ]
     systems, results = zip(*parts)
     return reduce(DataFrame.unionByName, systems), reduce(DataFrame.unionByName, results)
+
+
+def append_sweep_reports(system: DataFrame, result: DataFrame, path: str) -> None:
+    """Append the sweep's rows to the reports ``system`` (9 columns) and ``result`` (14)."""
+    append_report(system.drop("chunk"), f"{path}/system")
+    append_report(result, f"{path}/result")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from doccluster.functions.text import normalize_text, tokenize_filtered, tokenize_raw
 from doccluster.operators import evaluation, kmeans, labeling, propagation, similarity, stats
 from doccluster.operators import weighting
-from doccluster.plans.clustering import ap_topn_sweep, cluster_documents_ap
+from doccluster.plans.clustering import append_sweep_reports, ap_topn_sweep, cluster_documents_ap
 from doccluster.plans.jobs import write_ap_clusters, write_cluster_labels, write_kmeans_assignments
 from doccluster.plans.term_weights import write_term_scores, write_tf_icdf, write_tf_lig
 from doccluster.sources.readers import (
@@ -165,12 +165,21 @@ def ap_assignments(df: DataFrame) -> DataFrame:
     return propagation.ap_assignments(propagation.cluster_members(ap_by("C", "auto")(df)))
 
 
-def sweep(part: int) -> Query:
+def sweep(report: str) -> Query:
+    """The sweep's rows as they stand in the report files."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, gold, tags = gold_standard(spark, sf_dir)
-        rows = ap_topn_sweep(docs(spark, sf_dir), gold, tags, "auto", start=0, end=2)[part]
-        return rows.select(
-            *[rounded(c, c) if c in evaluation.METRICS else F.col(c) for c in rows.columns]
+        system, result = ap_topn_sweep(docs(spark, sf_dir), gold, tags, "auto", start=0, end=2)
+        path = scratch_path(spark, "sweep")
+        append_sweep_reports(system, result, path)
+        columns = result.dtypes if report == "result" else system.drop("chunk").dtypes
+        fields = F.split("value", "\t")
+        parsed = spark.read.text(f"{path}/{report}").select(
+            *[fields[n].cast(kind).alias(name) for n, (name, kind) in enumerate(columns)]
+        )
+        return parsed.select(
+            *[rounded(c, c) if c in evaluation.METRICS else F.col(c) for c in parsed.columns]
         )
 
     return run
@@ -461,8 +470,8 @@ def all_queries() -> dict[str, Query]:
         "cluster_documents_ap_frey_auto": over_docs(ap_by("F", "auto")),
         "ap_clusters": over_docs(ap_clusters),
         "ap_assignments": over_docs(ap_assignments),
-        "ap_topn_sweep_system": sweep(0),
-        "ap_topn_sweep_result": sweep(1),
+        "ap_topn_sweep_system": sweep("system"),
+        "ap_topn_sweep_result": sweep("result"),
         "hashed_tf": over_docs(hashed_tf),
         "idf": over_docs(idf),
         "tfidf_vectors": over_docs(tfidf_vectors),
