@@ -262,7 +262,9 @@ def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
         found.groupBy("root").agg(F.min(order)["_uid"].alias("_uid")).select("_uid"),
         "first",
     )
-    return numbered.join(first, "_uid", "left_semi").select(*docs.columns)
+    # the rows to drop are the shorter list, so the texts move only where even that is long
+    dropped = materialize(found.select("_uid").join(first, "_uid", "left_anti"), "dropped")
+    return numbered.join(dropped, "_uid", "left_anti").select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
