@@ -109,6 +109,30 @@ def test_short_form_keeps_three_digits():
     assert np.allclose(back[1:], values[1:], rtol=1e-3) and np.isfinite(back).all()
 
 
+def recall(spark, vectors, every):
+    rows = [(n, [float(x) for x in v]) for n, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_neighbours(table, F.col("vec_id") % every == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, len(vectors), every)) and {len(g) for g in got.values()} == {10}
+    hits = 0
+    for q, found in got.items():
+        gap = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        gap[q] = np.inf
+        hits += len(found & set(np.argsort(gap, kind="stable")[:10].tolist()))
+    return hits / (10 * len(got))
+
+
+@pytest.mark.parametrize("noise, common", [(1e-6, 0.0), (1e-10, 0.0), (1e-3, 1e4)])
+def test_neighbours_among_copies_with_float_noise(spark, noise, common):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(1800, 8))
+    vectors[:1500] = vectors[0] + noise * rng.normal(size=(1500, 8))
+    vectors[:, 0] += common
+    assert recall(spark, vectors, 30) >= 0.95
+
+
 # --- shards ---
 
 
