@@ -133,6 +133,18 @@ def test_neighbours_among_copies_with_float_noise(spark, noise, common):
     assert recall(spark, vectors, 30) >= 0.95
 
 
+def test_search_ends_when_no_node_is_open(spark):
+    # a path: every step reaches one node more
+    packed = neighbours.pack(np.arange(40.0)[:, None] + 1)
+    near = lambda n: [m for m in (n - 1, n + 1) if 0 <= m < 40]
+    rows = [(n, near(n), [packed[m] for m in near(n)]) for n in range(40)]
+    lists = materialize(spark.createDataFrame(rows, "node bigint, ids array<bigint>, vs array<binary>"), "lists")
+    queries = spark.createDataFrame([(0, packed[0])], "query bigint, v binary")
+    assert {r.node for r in neighbours.search(queries, lists, 1, 16).collect()} == set(range(16))
+    vectors = spark.createDataFrame(list(enumerate(packed)), "node bigint, v binary")
+    assert [tuple(r) for r in neighbours.exact_limits(queries.collect(), vectors, 1).collect()] == [(0, 10, 100.0)]
+
+
 # --- shards ---
 
 
