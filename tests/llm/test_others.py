@@ -42,6 +42,15 @@ def test_unseen_spelling_shares_ngrams():
     assert scores[2] == scores[3] and ((scores >= 0) & (scores <= 1)).all()
 
 
+def test_rare_toxic_words_are_learned_from_few_rows():
+    rows = [(t, y) for _, t, y in sentences(80)]  # each word in fewer than 30 texts
+    rows += [(t, 0) for _, t, y in sentences(400, 1) if not y]
+    model = toxicity.train([t for t, _ in rows], [y for _, y in rows], 20 / len(rows))
+    new = sentences(200, 2)
+    caught = model.scores(pa.array([t for _, t, _ in new])) >= toxicity.THRESHOLD
+    assert np.mean(caught == np.array([y == 1 for _, _, y in new])) > 0.95
+
+
 def test_one_class_and_no_rows():
     for texts, toxic in (([], []), (["a b"], [1])):
         assert ((toxicity.train(texts, toxic, 0.0).scores(pa.array(["x", None])) <= 1)).all()
