@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from doccluster.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from doccluster.llm.fixity import OP3_SQL, op3_warc_merkle_audit
 from doccluster.llm.licenses import op8_license_scan
+from doccluster.llm.lines import OP11_SQL, op11_line_dedup
 from doccluster.llm.neighbours import op4_nn_descent
 from doccluster.llm.packing import op10_best_fit_packing
 from doccluster.llm.secrets import op5_secret_scans
@@ -32,6 +33,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_balanced_sharding": op9_balanced_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_line_dedup": op11_line_dedup,
     }
 
 
@@ -40,4 +42,5 @@ def llm_oracles() -> dict[str, str]:
         "op3_warc_merkle_audit": OP3_SQL,
         "op6_temporal_url_filter": OP6_SQL,
         "op7_benchmark_decontamination": OP7_SQL,
+        "op11_line_dedup": OP11_SQL,
     }
