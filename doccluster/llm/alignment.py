@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
+import itertools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,27 +69,30 @@ def _byte_letters() -> dict[str, int]:
 
 
 class ByteTokens:
-    """Byte-level BPE of a space and the text; special tokens in texts are plain text."""
+    """Byte-level BPE of a space and the text; special tokens in texts are plain text.
+
+    The vocabulary is that of the file. Its ids are the ranks of its merges, so
+    tiktoken, which is faster, cuts texts into the same tokens.
+    """
 
     def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        from tiktoken import Encoding
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(_path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        with open(_path(vocabulary), encoding="utf-8") as file:
+            content = json.load(file)
         letters = _byte_letters()
-        known = self.tokenizer.get_vocab()
-        self.bytes = [b""] * (max(known.values()) + 1)
-        for token, number in known.items():
-            self.bytes[number] = (
-                bytes(letters[c] for c in token)
-                if all(c in letters for c in token)
-                else token.encode()
-            )
+        special = {token["id"] for token in content["added_tokens"]}
+        known = {n: t for t, n in content["model"]["vocab"].items() if n not in special}
+        pieces = {n: bytes(letters[c] for c in token) for n, token in known.items()}
+        ranks = {piece: n for n, piece in pieces.items()}
+        self.encoding = Encoding(
+            vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+        self.bytes = [pieces.get(n, b"") for n in range(max(pieces) + 1)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        spaced = [" " + text for text in texts]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.encoding.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
 
 
 class PieceTokens:
@@ -227,35 +231,46 @@ def linked_pairs(
 # --- documents ----------------------------------------------------------------
 
 
-class Corpus:
-    """Tokens of some documents, one after the other, as flat arrays."""
-
-    def __init__(self, texts: list[str | None], a, b) -> None:
-        kept = [n for n, text in enumerate(texts) if text]
-        given = [texts[n] for n in kept]
-        tokens_a, tokens_b = (t.encode(given) if given else [] for t in (a, b))
-        self.rows, picked_a, picked_b = [], [], []
-        for n, text, ids_a, ids_b in zip(kept, given, tokens_a, tokens_b):
-            data = (" " + text).encode("utf-8", "surrogatepass")
-            joined = (b"".join(map(t.bytes.__getitem__, i)) for t, i in ((a, ids_a), (b, ids_b)))
-            if all(j == data for j in joined):
-                self.rows.append(n)
-                picked_a.append(ids_a)
-                picked_b.append(ids_b)
-        self.ids_a, self.ends_a, self.n_a = self._flat(picked_a, a)
-        self.ids_b, self.ends_b, self.n_b = self._flat(picked_b, b)
-
-    @staticmethod
-    def _flat(lists: list[list[int]], tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        counts = np.array([len(ids) for ids in lists], np.int64)
-        ids = np.fromiter((i for part in lists for i in part), np.int64, int(counts.sum()))
-        sizes = np.array([len(piece) for piece in tokens.bytes], np.int64)
-        return ids, np.cumsum(sizes[ids]), counts
-
-
-def _group_texts(
+class Side:
+    """Tokens of some documents under one tokenizer, one after the other, as flat arrays."""
+
+    def __init__(self, tokens, lists) -> None:
+        self.counts = np.array([len(ids) for ids in lists], np.int64)
+        total = int(self.counts.sum())
+        if lists and isinstance(lists[0], np.ndarray):
+            self.ids = np.concatenate(lists).astype(np.int64)
+        else:
+            self.ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, total)
+        sizes, self.joined = _joined(self.ids, tokens)
+        self.ends = np.cumsum(sizes)
+        self.borders = np.concatenate([[0], np.cumsum(self.counts)])
+
+    def bytes_of(self, n: int) -> bytes:
+        low, high = (self.ends[at - 1] if at else 0 for at in self.borders[n : n + 2])
+        return self.joined[low:high].tobytes()
+
+    def keep(self, docs: np.ndarray) -> None:
+        """Only these documents, by their places among all of them."""
+        inside = np.repeat(np.isin(np.arange(len(self.counts)), docs), self.counts)
+        sizes = np.diff(self.ends, prepend=0)[inside]
+        self.ids, self.ends, self.counts = self.ids[inside], np.cumsum(sizes), self.counts[docs]
+
+
+@functools.lru_cache(maxsize=4)
+def _table(tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the whole vocabulary, and where each token's begin and how many they are."""
+    sizes = np.array([len(piece) for piece in tokens.bytes], np.int64)
+    return np.frombuffer(b"".join(tokens.bytes), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def _joined(ids: np.ndarray, tokens) -> tuple[np.ndarray, np.ndarray]:
+    data, starts, sizes = _table(tokens)
+    return sizes[ids], data[_spread(starts[ids], sizes[ids])]
+
+
+def _listing(
     of_a: np.ndarray, ids_a: np.ndarray, of_b: np.ndarray, ids_b: np.ndarray, groups: int
-) -> tuple[np.ndarray, np.ndarray]:
+) -> np.ndarray:
     """All tokens in the order of the listing ``a,a|b;a|b,b`` and what follows each.
 
     Twice the id, plus one where the token is the last one of its side of a
@@ -270,7 +285,7 @@ def _group_texts(
     last_b = at_b == (before_b + size_b)[of_b] - 1
     out[at_a + before_b[of_a]] = 2 * ids_a + last_a
     out[at_b + (before_a + size_a)[of_b]] = 2 * (ids_b + STRIDE) + last_b
-    return out, before_a + before_b
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -287,32 +302,41 @@ def _written(size_a: int, size_b: int) -> dict[int, bytes]:
 def align(texts: list[str | None], a, b, piece: int = PIECE) -> list[tuple]:
     """``(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times)`` of each text."""
     found: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
-    docs = Corpus(texts, a, b)
-    if not docs.rows:
+    rows = [n for n, text in enumerate(texts) if text]
+    given = [texts[n] for n in rows]
+    one, other = (Side(tokens, tokens.encode(given) if given else []) for tokens in (a, b))
+    raw = [(" " + text).encode("utf-8", "surrogatepass") for text in given]
+    same = np.array(
+        [n for n, data in enumerate(raw) if one.bytes_of(n) == data == other.bytes_of(n)], np.int64
+    )
+    if not len(same):
         return found
-    of_a, of_b, ends = group_numbers(docs.ends_a, docs.ends_b, piece)
+    rows = [rows[n] for n in same]
+    one.keep(same)
+    other.keep(same)
+    of_a, of_b, ends = group_numbers(one.ends, other.ends, piece)
     groups = len(ends)
     # documents end at common ends, so each has whole groups
-    doc_ends = docs.ends_a[np.cumsum(docs.n_a) - 1]
+    doc_ends = one.ends[np.cumsum(one.counts) - 1]
     last = np.searchsorted(ends, doc_ends) + 1
     doc_of = np.repeat(np.arange(len(last)), np.diff(last, prepend=0))
     links = np.bincount(of_a, minlength=groups) * np.bincount(of_b, minlength=groups)
     n_links = np.add.reduceat(links, last - np.diff(last, prepend=0))
     parts = [
         _sums(doc_of[group], pair, times)
-        for group, pair, times in linked_pairs(of_a, docs.ids_a, of_b, docs.ids_b, groups)
+        for group, pair, times in linked_pairs(of_a, one.ids, of_b, other.ids, groups)
     ]
     doc, pair, times = _sums(*(np.concatenate(x) for x in zip(*parts)))
     borders = np.searchsorted(doc, np.arange(len(last) + 1))
-    codes, _ = _group_texts(of_a, docs.ids_a, of_b, docs.ids_b, groups)
+    codes = _listing(of_a, one.ids, of_b, other.ids, groups)
     written = _written(len(a.bytes), len(b.bytes))
-    tokens = np.concatenate([[0], np.cumsum(docs.n_a + docs.n_b)])
-    for n, row in enumerate(docs.rows):
+    tokens = np.concatenate([[0], np.cumsum(one.counts + other.counts)])
+    for n, row in enumerate(rows):
         listing = b"".join(map(written.__getitem__, codes[tokens[n] : tokens[n + 1]].tolist()))
         mine = slice(borders[n], borders[n + 1])
         found[row] = (
-            int(docs.n_a[n]),
-            int(docs.n_b[n]),
+            int(one.counts[n]),
+            int(other.counts[n]),
             int(last[n] - (last[n - 1] if n else 0)),
             int(n_links[n]),
             hashlib.sha256(listing[:-1]).hexdigest(),
@@ -452,10 +476,11 @@ def align_documents(docs: DataFrame, most_common: int = COMMON_PAIRS, **options)
     """Alignment of two tokenizers' tokens on every row of ``docs``.
 
     ``(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256,
-    pairs, times)``. Links are all occurrence pairs of one group. Null and empty texts, and texts that a
-    tokenizer does not give back byte for byte, have no tokens. Rows that share
-    an id, or have none, stay rows of their own and count as documents of their
-    own. An empty table gives an empty result; other columns are not read.
+    pairs, times)``. Links are all occurrence pairs of one group. Null and empty
+    texts, and texts that a tokenizer does not give back byte for byte, have no
+    tokens. Rows that share an id, or have none, stay rows of their own and count
+    as documents of their own. An empty table gives an empty result; other
+    columns are not read.
     """
     aligned = aligned_documents(docs, **options)
     counts = link_counts(aligned, pair_counts(aligned), most_common)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doccluster.llm.alignment import op12_cross_tokenizer_alignment
 from doccluster.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from doccluster.llm.fixity import OP3_SQL, op3_warc_merkle_audit
 from doccluster.llm.licenses import op8_license_scan
@@ -34,6 +35,7 @@ def llm_queries() -> dict[str, Query]:
         "op9_balanced_sharding": op9_balanced_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_line_dedup": op11_line_dedup,
+        "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     }
 
 

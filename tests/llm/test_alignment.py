@@ -121,6 +121,17 @@ def test_large_groups_are_expanded_by_distinct_ids():
     assert sum(int(p[2].sum()) for p in parts) == 5000 * 4000
 
 
+def test_ids_equal_the_named_tokenizer(rows, tokenizers):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    named = Tokenizer.from_file(public_tokenizers.path(alignment.VOCABULARY_A))
+    named.encode_special_tokens = True
+    texts = [text for _, text in rows if text]
+    for text, ids in zip(texts, tokenizers[0].encode(texts)):
+        assert named.encode(" " + text, add_special_tokens=False).ids == ids.tolist()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align_documents(docs).collect() == []
