@@ -11,6 +11,7 @@ from doccluster.llm.decontamination import OP7_SQL, op7_benchmark_decontaminatio
 from doccluster.llm.fixity import OP3_SQL, op3_warc_merkle_audit
 from doccluster.llm.licenses import op8_license_scan
 from doccluster.llm.lines import OP11_SQL, op11_line_dedup
+from doccluster.llm.negatives import OP13_SQL, op13_hard_negatives
 from doccluster.llm.neighbours import op4_nn_descent
 from doccluster.llm.packing import op10_best_fit_packing
 from doccluster.llm.secrets import op5_secret_scans
@@ -36,6 +37,7 @@ def llm_queries() -> dict[str, Query]:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_line_dedup": op11_line_dedup,
         "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -45,4 +47,5 @@ def llm_oracles() -> dict[str, str]:
         "op6_temporal_url_filter": OP6_SQL,
         "op7_benchmark_decontamination": OP7_SQL,
         "op11_line_dedup": OP11_SQL,
+        "op13_hard_negatives": OP13_SQL,
     }
