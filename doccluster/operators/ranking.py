@@ -1,4 +1,4 @@
-"""Global order statistics that never sort or hold a whole column in one task."""
+"""Order statistics: best rows per key, and global ones that never hold a whole column in one task."""
 
 from __future__ import annotations
 
@@ -97,3 +97,17 @@ def exact_median(df: DataFrame, column: str) -> float | None:
         F.count_if(F.col("v") <= lower), F.min(F.when(F.col("v") > lower, F.col("v")))
     ).first()
     return lower if to_lower > size // 2 else (lower + upper) / 2
+
+
+def top_n_neighbors(edges: DataFrame, n: int) -> DataFrame:
+    """Per ``i`` the ``n`` edges with the largest ``s``, ties by ``k``.
+
+    The rank limit runs before the shuffle too, so a document sends at most
+    ``n`` edges per task.
+    """
+    best = Window.partitionBy("i").orderBy(F.desc("s"), "k")
+    return (
+        edges.withColumn("_rank", F.row_number().over(best))
+        .filter(F.col("_rank") <= n)
+        .select("i", "k", "s")
+    )

@@ -22,8 +22,13 @@ def _parse_lines(lines: DataFrame, categorized: bool) -> DataFrame:
 
 
 def _at_least(df: DataFrame, min_partitions: int | None) -> DataFrame:
-    """Spread a scan over so many partitions where the caller asks for it."""
-    return df if min_partitions is None else df.repartition(min_partitions)
+    """Spread a scan of few large files over so many partitions.
+
+    A scan that has them already is left alone: its texts are not shuffled.
+    """
+    if min_partitions is None or df.rdd.getNumPartitions() >= min_partitions:
+        return df
+    return df.repartition(min_partitions)
 
 
 def _well_formed() -> Column:
