@@ -1,81 +1,265 @@
-"""k-means over TF-IDF vectors with Spark ML."""
+"""k-means over hashed TF-IDF vectors, as joins and aggregates of sparse rows.
+
+A vector is its rows ``(doc_id, bucket, weight)``; a document without tokens
+has one row without a bucket. Centers are rows ``(bucket, center)`` with one
+weight per cluster, so a round is one join by bucket and one aggregation to one
+row per document, then one to one row per bucket. No vector is ever dense, and
+the driver sees k numbers a round.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from doccluster.functions.text import tokenize_raw
-from doccluster.operators.stats import term_frequency_raw
+from doccluster.functions.text import tokenize_raw, with_bag
+from doccluster.sources.scratch import materialize
 
 # --- fixed values -----------------------------------------------------------
 NUM_FEATURES = 1 << 20
 RUNS = 1
 # ----------------------------------------------------------------------------
+# Costs that agree to this many digits are ties; the smaller cluster id wins.
+TIE_DIGITS = 6
+# Weights of all centers up to which they may be broadcast, 8 bytes each.
+BROADCAST_WEIGHTS = 1 << 23
+
+
+def hash_bucket(token: Column, num_features: int) -> Column:
+    """The bucket of a term: the first 32 bits of its MD5, modulo ``num_features``."""
+    head = F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10)
+    return F.pmod(head.cast("bigint"), F.lit(num_features)).cast("int")
 
 
 def hashed_tf(docs: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
-    """``(doc_id, tf)``: hashed term-frequency vector of raw tokens."""
-    tokens = docs.select("doc_id", tokenize_raw(F.col("text")).alias("tokens"))
-    return (
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
-        .transform(tokens)
-        .select("doc_id", "tf")
+    """``(doc_id, bucket, tf)``: hashed term frequencies of raw tokens, without a shuffle.
+
+    Terms of one bucket are merged. A document without tokens has one row with
+    null bucket and tf.
+    """
+    buckets = F.transform(
+        tokenize_raw(F.col("text")), lambda t: hash_bucket(t, num_features).cast("string")
+    )
+    bags = with_bag(docs, buckets, "doc_id")
+    return bags.select("doc_id", F.inline_outer(F.arrays_zip("terms", "counts"))).select(
+        "doc_id", F.col("terms").cast("int").alias("bucket"), F.col("counts").alias("tf")
     )
 
 
 def idf(vectors: DataFrame) -> DataFrame:
-    """``(doc_id, features)``: term frequencies rescaled by fitted IDF."""
-    model = IDF(inputCol="tf", outputCol="features").fit(vectors)
-    return model.transform(vectors).select("doc_id", "features")
+    """``(bucket, df, idf)`` of ``hashed_tf``: ``ln((N + 1) / (df + 1))``.
 
+    N counts every document, also those without tokens.
+    """
+    total = vectors.select("doc_id").distinct().count()
+    df = vectors.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("df"))
+    return df.withColumn("idf", F.log((F.lit(total) + 1) / (F.col("df") + 1)))
 
-def term_idf(docs: DataFrame) -> DataFrame:
-    """``(term, df, idf)`` of every raw token: the fitted weights, term by term.
 
-    ``ln((N + 1) / (df + 1))``, the rule of the hashed form above, which merges
-    the terms of a bucket.
-    """
-    terms = docs.select(F.explode(F.array_distinct(tokenize_raw(F.col("text")))).alias("term"))
-    total = docs.agg(F.count("*")).scalar()
-    return (
-        terms.groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .withColumn("idf", F.log((total + 1) / (F.col("df") + 1)))
+def tfidf_vectors(docs: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
+    """``(doc_id, bucket, weight)``: hashed term frequencies rescaled by their idf."""
+    vectors = materialize(hashed_tf(docs, num_features), "hashed-tf")
+    weights = idf(vectors).select("bucket", "idf")
+    # one row per bucket, of which there are num_features
+    if num_features <= BROADCAST_WEIGHTS:
+        weights = F.broadcast(weights)
+    return vectors.join(weights, "bucket", "left").select(
+        "doc_id", "bucket", (F.col("tf") * F.col("idf")).alias("weight")
     )
 
 
-def tfidf_weights(docs: DataFrame) -> DataFrame:
-    """``(doc_id, term, weight)``: TF-IDF vectors term by term."""
-    return term_frequency_raw(docs).join(term_idf(docs).select("term", "idf"), "term").select(
-        "doc_id", "term", (F.col("tf") * F.col("idf")).alias("weight")
-    )
+@dataclass
+class Centers:
+    """``centers`` is ``(bucket, center)``, ``norms`` each center's squared length."""
 
+    centers: DataFrame
+    norms: list[float]
+    broadcast: bool
 
-def tfidf_vectors(docs: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
-    """``(doc_id, features)``: raw tokens, hashed and rescaled."""
-    return idf(hashed_tf(docs, num_features))
 
+def _start_order(seed: int, run: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.lit(run), "doc_id").cast("binary"))
 
-def kmeans(
-    features: DataFrame, k: int, max_iter: int, runs: int = RUNS, seed: int = 0
-) -> KMeansModel:
-    """Best of ``runs`` randomly initialised models by training cost."""
-    cached = features.persist(StorageLevel.MEMORY_AND_DISK)
-    models = (
-        KMeans(k=k, maxIter=max_iter, initMode="random", seed=seed + run).fit(cached)
-        for run in range(runs)
+
+def _first_assignments(features: DataFrame, k: int, seed: int, run: int) -> DataFrame:
+    """The k documents whose hashed ids are least, each a cluster of its own."""
+    ids = features.select("doc_id").distinct()
+    first = ids.orderBy(_start_order(seed, run), "doc_id").limit(k).collect()
+    rows = [(row.doc_id, n) for n, row in enumerate(first)]
+    return features.sparkSession.createDataFrame(rows, "doc_id bigint, cluster_id bigint")
+
+
+def _cluster_facts(assigned: DataFrame, k: int) -> tuple[list[int], list[int]]:
+    """Sizes of the k clusters, and a number for each that its documents give in any order."""
+    members = F.bit_xor(F.xxhash64("doc_id")).alias("members")
+    sizes, marks = [0] * k, [0] * k
+    for row in assigned.groupBy("cluster_id").agg(F.count("*").alias("n"), members).collect():
+        sizes[row.cluster_id], marks[row.cluster_id] = row.n, row.members
+    return sizes, marks
+
+
+def _new_centers(
+    features: DataFrame,
+    assigned: DataFrame,
+    sizes: list[int],
+    num_features: int,
+    old: Centers | None = None,
+) -> Centers:
+    """Means of the clusters' vectors; a cluster without documents keeps its center."""
+    k, weight = len(sizes), F.col("weight")
+    sums = [
+        F.sum(F.when(F.col("cluster_id") == j, weight).otherwise(0.0)) for j in range(k)
+    ]
+    # an array of constants keeps the generated code the same from round to round
+    number = F.array(*[F.lit(float(max(n, 1))) for n in sizes])
+    held = features.filter("bucket IS NOT NULL").join(assigned.select("doc_id", "cluster_id"), "doc_id")
+    centers = held.groupBy("bucket").agg(F.array(*sums).alias("sums"))
+    mean = F.zip_with("sums", number, lambda total, n: total / n)
+    centers = centers.select("bucket", mean.alias("center"))
+    if old is not None and 0 in sizes:
+        before = old.centers.withColumnRenamed("center", "before")
+        kept = [
+            F.coalesce(F.col("center" if n else "before")[j], F.lit(0.0))
+            for j, n in enumerate(sizes)
+        ]
+        centers = centers.join(before, "bucket", "full").select(
+            "bucket", F.array(*kept).alias("center")
+        )
+    centers = materialize(centers, "centers")
+    squares = [F.coalesce(F.sum(F.col("center")[j] ** 2), F.lit(0.0)) for j in range(k)]
+    return Centers(centers, list(centers.agg(*squares).first()), k * num_features <= BROADCAST_WEIGHTS)
+
+
+def _assigned(features: DataFrame, model: Centers) -> DataFrame:
+    """``(doc_id, cluster_id, cost)``: each document's nearest center and its squared distance."""
+    centers = F.broadcast(model.centers) if model.broadcast else model.centers
+    weight = F.col("weight")
+    dots = [
+        F.coalesce(F.sum(weight * F.col("center")[j]), F.lit(0.0)).alias(f"dot_{j}")
+        for j in range(len(model.norms))
+    ]
+    square = F.coalesce(F.sum(weight * weight), F.lit(0.0)).alias("square")
+    sums = features.join(centers, "bucket", "left").groupBy("doc_id").agg(square, *dots)
+    norms = F.array(*[F.lit(norm) for norm in model.norms])
+
+    def cost(dot: Column, cluster: Column) -> Column:
+        squared = F.col("square") - 2 * dot + F.element_at(norms, cluster + 1)
+        return F.struct(
+            F.round(squared, TIE_DIGITS).alias("cost"), cluster.cast("bigint").alias("cluster_id")
+        )
+
+    columns = F.array(*[f"dot_{j}" for j in range(len(model.norms))])
+    best = F.array_min(F.transform(columns, cost)).alias("best")
+    return sums.select("doc_id", best).select("doc_id", "best.cluster_id", "best.cost")
+
+
+def _cluster_facts(assigned: DataFrame, k: int) -> tuple[list[int], list[int]]:
+    """Sizes of the k clusters, and a number for each that its documents give in any order."""
+    members = F.bit_xor(F.xxhash64("doc_id")).alias("members")
+    sizes, marks = [0] * k, [0] * k
+    for row in assigned.groupBy("cluster_id").agg(F.count("*").alias("n"), members).collect():
+        sizes[row.cluster_id], marks[row.cluster_id] = row.n, row.members
+    return sizes, marks
+
+
+def _new_centers(
+    features: DataFrame,
+    assigned: DataFrame,
+    sizes: list[int],
+    num_features: int,
+    old: Centers | None = None,
+) -> Centers:
+    """Means of the clusters' vectors; a cluster without documents keeps its center."""
+    k, weight = len(sizes), F.col("weight")
+    sums = [
+        F.sum(F.when(F.col("cluster_id") == j, weight).otherwise(0.0)) for j in range(k)
+    ]
+    # an array of constants keeps the generated code the same from round to round
+    number = F.array(*[F.lit(float(max(n, 1))) for n in sizes])
+    held = features.filter("bucket IS NOT NULL").join(assigned.select("doc_id", "cluster_id"), "doc_id")
+    centers = held.groupBy("bucket").agg(F.array(*sums).alias("sums"))
+    mean = F.zip_with("sums", number, lambda total, n: total / n)
+    centers = centers.select("bucket", mean.alias("center"))
+    if old is not None and 0 in sizes:
+        before = old.centers.withColumnRenamed("center", "before")
+        kept = [
+            F.coalesce(F.col("center" if n else "before")[j], F.lit(0.0))
+            for j, n in enumerate(sizes)
+        ]
+        centers = centers.join(before, "bucket", "full").select(
+            "bucket", F.array(*kept).alias("center")
+        )
+    centers = materialize(centers, "centers")
+    squares = [F.coalesce(F.sum(F.col("center")[j] ** 2), F.lit(0.0)) for j in range(k)]
+    return Centers(centers, list(centers.agg(*squares).first()), k * num_features <= BROADCAST_WEIGHTS)
+
+
+def _assigned(features: DataFrame, model: Centers) -> DataFrame:
+    """``(doc_id, cluster_id, cost)``: each document's nearest center and its squared distance."""
+    centers = F.broadcast(model.centers) if model.broadcast else model.centers
+    weight = F.col("weight")
+    dots = [
+        F.coalesce(F.sum(weight * F.col("center")[j]), F.lit(0.0)).alias(f"dot_{j}")
+        for j in range(len(model.norms))
+    ]
+    square = F.coalesce(F.sum(weight * weight), F.lit(0.0)).alias("square")
+    sums = features.join(centers, "bucket", "left").groupBy("doc_id").agg(square, *dots)
+    costs = [
+        F.struct(
+            F.round(F.col("square") - 2 * F.col(f"dot_{j}") + norm, TIE_DIGITS).alias("cost"),
+            F.lit(j).cast("bigint").alias("cluster_id"),
+        )
+        for j, norm in enumerate(model.norms)
+    ]
+    return sums.select("doc_id", F.array_min(F.array(*costs)).alias("best")).select(
+        "doc_id", "best.cluster_id", "best.cost"
     )
-    best = min(models, key=lambda model: model.summary.trainingCost)
-    cached.unpersist()
+
+
+def kmeans(
+    features: DataFrame,
+    k: int,
+    max_iter: int,
+    runs: int = RUNS,
+    seed: int = 0,
+    num_features: int = NUM_FEATURES,
+) -> Centers:
+    """Centers of the best of ``runs`` runs by total cost, after ``max_iter`` rounds at most.
+
+    ``features`` is a written ``(doc_id, bucket, weight)``. A run starts from the
+    documents whose hashed ids are least for its seed, and ends when no document
+    changes its cluster. With fewer documents than ``k`` there are fewer clusters.
+    """
+    best, least = None, None
+    for run in range(runs):
+        first = _first_assignments(features, k, seed, run)
+        found = first.count()
+        if not found:
+            return Centers(features.selectExpr("bucket", "array() AS center").limit(0), [], True)
+        model, seen = _new_centers(features, first, [1] * found, num_features), None
+        for _ in range(max_iter):
+            assigned = materialize(_assigned(features, model), "assigned")
+            facts = _cluster_facts(assigned, found)
+            if facts == seen:
+                break
+            model, seen = _new_centers(features, assigned, facts[0], num_features, model), facts
+        if runs == 1:
+            return model
+        cost = total_cost(features, model)
+        if least is None or cost < least:
+            best, least = model, cost
     return best
 
 
-def kmeans_assignments(model: KMeansModel, features: DataFrame) -> DataFrame:
+def total_cost(features: DataFrame, model: Centers) -> float:
+    """Sum of all documents' squared distances to their nearest centers."""
+    return _assigned(features, model).agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
+
+
+def kmeans_assignments(model: Centers, features: DataFrame) -> DataFrame:
     """``(doc_id, cluster_id)``."""
-    return model.transform(features).select(
-        "doc_id", F.col("prediction").cast("bigint").alias("cluster_id")
-    )
+    if not model.norms:
+        return features.selectExpr("doc_id", "CAST(NULL AS BIGINT) AS cluster_id").limit(0)
+    return _assigned(features, model).select("doc_id", "cluster_id")

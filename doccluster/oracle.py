@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from doccluster.functions.text import STOPWORDS
 from doccluster.operators.evaluation import METRICS
-from doccluster.queries import FEATURES, FREY_PREFERENCE, NEIGHBORS, PREFERENCE, ROUNDS
+from doccluster.operators.kmeans import NUM_FEATURES
+from doccluster.queries import (
+    CENTERS,
+    FEATURES,
+    FREY_PREFERENCE,
+    KMEANS_ROUNDS,
+    NEIGHBORS,
+    PREFERENCE,
+    ROUNDS,
+    SEED,
+)
 
 STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(STOPWORDS))
 TRIM = r"regexp_replace(lower(text), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
@@ -70,10 +80,65 @@ SCORED = f"""scored AS MATERIALIZED (
 SCORES = f"""scores AS MATERIALIZED (
   SELECT term, sum({LIG}) AS lig, sum({IG}) AS ig FROM terms4 GROUP BY term)"""
 
-TERM_IDF = (
-    "idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1))"
-    " AS idf FROM tf GROUP BY term)"
+# --- k-means ------------------------------------------------------------------
+BUCKET = f"(('0x' || substr(md5(term), 1, 8))::BIGINT % {NUM_FEATURES})::INTEGER"
+HASHED = (
+    f"htf AS MATERIALIZED (SELECT doc_id, {BUCKET} AS bucket, count(*)::BIGINT AS tf"
+    " FROM raw GROUP BY ALL)"
+)
+BUCKET_IDF = (
+    "idf AS (SELECT bucket, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1) /"
+    " (count(*) + 1)) AS idf FROM htf GROUP BY bucket)"
+)
+# a document without tokens has one row without a bucket
+HASHED_ALL = (
+    "SELECT d.doc_id, bucket, tf FROM documents d LEFT JOIN htf ON htf.doc_id = d.doc_id"
 )
+VECTORS = (
+    "vec AS MATERIALIZED (SELECT doc_id, bucket, tf * idf AS weight FROM htf JOIN idf USING (bucket))"
+)
+
+
+def nearest(centers: str, out: str) -> list[str]:
+    """Each document's nearest center, ties by the smaller cluster."""
+    return [
+        f"""{out}_cost AS MATERIALIZED (
+  SELECT d.doc_id, n.cluster_id,
+         round(coalesce(q.square, 0) - 2 * coalesce(t.dot, 0) + n.norm, 6) AS cost
+  FROM documents d
+  CROSS JOIN (SELECT cluster_id, sum(weight * weight) AS norm FROM {centers} GROUP BY 1) n
+  LEFT JOIN (SELECT doc_id, sum(weight * weight) AS square FROM vec GROUP BY 1) q
+    ON q.doc_id = d.doc_id
+  LEFT JOIN (SELECT v.doc_id, c.cluster_id, sum(v.weight * c.weight) AS dot
+             FROM vec v JOIN {centers} c ON c.bucket = v.bucket GROUP BY ALL) t
+    ON t.doc_id = d.doc_id AND t.cluster_id = n.cluster_id)""",
+        f"""{out} AS MATERIALIZED (SELECT doc_id, cluster_id, cost FROM {out}_cost
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cost, cluster_id) = 1)""",
+    ]
+
+
+def means(assigned: str, out: str) -> str:
+    return f"""{out} AS MATERIALIZED (
+  SELECT cluster_id, bucket, sum(weight) / any_value(n) AS weight
+  FROM vec JOIN {assigned} a USING (doc_id)
+  JOIN (SELECT cluster_id, count(*) AS n FROM {assigned} GROUP BY 1) s USING (cluster_id)
+  GROUP BY cluster_id, bucket)"""
+
+
+def kmeans_run(run: int) -> list[str]:
+    """All rounds of one run, written out; ends with its assignments ``run<n>``."""
+    p = f"km{run}_"
+    ctes = [
+        f"""{p}a0 AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY start, doc_id) - 1
+  AS cluster_id FROM (SELECT doc_id, md5('{SEED}:{run}:' || doc_id) AS start FROM documents
+  ORDER BY start, doc_id LIMIT {CENTERS}))""",
+        means(f"{p}a0", f"{p}c0"),
+    ]
+    for n in range(1, KMEANS_ROUNDS + 1):
+        ctes += [*nearest(f"{p}c{n - 1}", f"{p}a{n}"), means(f"{p}a{n}", f"{p}c{n}")]
+    return [*ctes, *nearest(f"{p}c{KMEANS_ROUNDS}", f"run{run}")]
+
+
 RAW_BASE = (norm(), RAW, RAW_TF, DOC)
 CAT_BASE = (norm(), FILT, CAT_TF, CDF, SIZES)
 SCORE_BASE = (*CAT_BASE, CELLS, SCORES)
@@ -499,15 +564,26 @@ def single_oracles() -> dict[str, str]:
         ),
         "ap_topn_sweep_system": sweep_sql("system"),
         "ap_topn_sweep_result": sweep_sql("result"),
-        "idf": with_ctes(*RAW_BASE, TERM_IDF, select="SELECT term, df, round(idf, 6) + 0.0 AS idf FROM idf"),
+        "hashed_tf": with_ctes(norm(), RAW, HASHED, select=HASHED_ALL),
+        "idf": with_ctes(
+            norm(), RAW, HASHED, BUCKET_IDF, select=f"SELECT bucket, df, {r6('idf', 'idf')} FROM idf"
+        ),
         "tfidf_vectors": with_ctes(
-            *RAW_BASE, TERM_IDF,
-            select="SELECT doc_id, term, round(tf * idf, 6) + 0.0 AS weight FROM tf JOIN idf USING (term)",
+            norm(), RAW, HASHED, BUCKET_IDF, VECTORS,
+            select=f"SELECT d.doc_id, bucket, {r6('weight', 'weight')}"
+            " FROM documents d LEFT JOIN vec ON vec.doc_id = d.doc_id",
         ),
-        "kmeans": "SELECT count(*) AS n_docs, 4 AS k, true AS ids_fit, true AS cost_fits FROM documents",
-        "kmeans_assignments": "SELECT doc_id, true AS id_fits FROM documents",
-        "hashed_tf": with_ctes(
-            norm(), select=f"SELECT doc_id, len({RAW_TOKENS}) AS len FROM norm"
+        "kmeans": with_ctes(
+            norm(), RAW, HASHED, BUCKET_IDF, VECTORS, *kmeans_run(0), *kmeans_run(1),
+            "cost AS (SELECT (SELECT sum(cost) FROM run0) AS one, (SELECT sum(cost) FROM run1) AS two)",
+            "better AS (SELECT * FROM run0 WHERE (SELECT one <= two FROM cost)"
+            " UNION ALL SELECT * FROM run1 WHERE (SELECT one > two FROM cost))",
+            select="SELECT cluster_id, count(*) AS n_docs, (SELECT round(avg(cost), 4) FROM better)"
+            " AS mean_cost FROM better GROUP BY cluster_id",
+        ),
+        "kmeans_assignments": with_ctes(
+            norm(), RAW, HASHED, BUCKET_IDF, VECTORS, *kmeans_run(0),
+            select="SELECT doc_id, cluster_id FROM run0",
         ),
         "contingency_table": "SELECT source AS cluster_id, lang AS label, count(*) AS n"
         " FROM documents GROUP BY ALL",

@@ -33,6 +33,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 ROUNDS = 10
 NEIGHBORS = 10
 CENTERS = 4
+KMEANS_ROUNDS = 10
+SEED = 7
 FEATURES = 500
 PREFERENCE = 100.0
 # Under this one some documents, and not all, are exemplars.
@@ -189,37 +191,33 @@ def sweep(report: str) -> Query:
 
 
 def hashed_tf(df: DataFrame) -> DataFrame:
-    values = F.unwrap_udt("tf")["values"]
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    return kmeans.hashed_tf(df).select("doc_id", total.cast("bigint").alias("len"))
+    return kmeans.hashed_tf(df)
 
 
 def idf(df: DataFrame) -> DataFrame:
-    return kmeans.term_idf(df).select("term", "df", rounded("idf", "idf"))
+    weights = kmeans.idf(materialize(kmeans.hashed_tf(df), "hashed"))
+    return weights.select("bucket", "df", rounded("idf", "idf"))
 
 
 def tfidf_vectors(df: DataFrame) -> DataFrame:
-    return weights(kmeans.tfidf_weights(df))
+    return kmeans.tfidf_vectors(df).withColumn("weight", rounded("weight", "weight"))
 
 
 def kmeans_assignments(df: DataFrame) -> DataFrame:
     features = materialize(kmeans.tfidf_vectors(df), "features")
-    model = kmeans.kmeans(features, k=CENTERS, max_iter=10, seed=7)
-    return kmeans.kmeans_assignments(model, features).select(
-        "doc_id", F.col("cluster_id").between(0, CENTERS - 1).alias("id_fits")
-    )
+    model = kmeans.kmeans(features, k=CENTERS, max_iter=KMEANS_ROUNDS, seed=SEED)
+    return kmeans.kmeans_assignments(model, features)
 
 
 def kmeans_summary(df: DataFrame) -> DataFrame:
-    """What holds for any start: all documents assigned, and no more cost with more runs."""
+    """Clusters of the better of two runs: sizes, and mean squared distance to the center."""
     features = materialize(kmeans.tfidf_vectors(df), "features")
-    one, best = (kmeans.kmeans(features, k=CENTERS, max_iter=10, runs=n, seed=7) for n in (1, 2))
-    return kmeans.kmeans_assignments(best, features).agg(
-        F.count("*").alias("n_docs"),
-        F.lit(len(best.clusterCenters())).alias("k"),
-        F.min(F.col("cluster_id").between(0, CENTERS - 1)).alias("ids_fit"),
-        F.lit(best.summary.trainingCost <= one.summary.trainingCost).alias("cost_fits"),
-    )
+    model = kmeans.kmeans(features, CENTERS, KMEANS_ROUNDS, runs=2, seed=SEED)
+    sizes = kmeans.kmeans_assignments(model, features).groupBy("cluster_id")
+    cost = kmeans.total_cost(features, model)
+    n_docs = features.select("doc_id").distinct().count()
+    mean = F.round(F.lit(cost / max(n_docs, 1)), 4).alias("mean_cost")
+    return sizes.agg(F.count("*").alias("n_docs")).select("cluster_id", "n_docs", mean)
 
 
 # --- evaluation -------------------------------------------------------------
@@ -379,10 +377,8 @@ def write_ap_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_kmeans_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "kmeans")
-    write_kmeans_assignments(docs(spark, sf_dir), path, CENTERS, 10, seed=7)
-    return spark.read.parquet(path).select(
-        "doc_id", F.col("cluster_id").between(0, CENTERS - 1).alias("id_fits")
-    )
+    write_kmeans_assignments(docs(spark, sf_dir), path, CENTERS, KMEANS_ROUNDS, seed=SEED)
+    return spark.read.parquet(path)
 
 
 def all_queries() -> dict[str, Query]:
