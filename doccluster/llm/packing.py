@@ -33,6 +33,8 @@ EXCHANGE = 8
 HANDED_OVER = 256
 # Bits for the sequences of one group in a sequence's number.
 BIN_BITS = 24
+# Characters of the texts that are words at the same time.
+SLICE_CHARS = 2_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -55,7 +57,7 @@ class WordIds:
     """
 
     JOINED = 512
-    MOST = 400_000
+    MOST = 120_000
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
@@ -114,6 +116,15 @@ class WordIds:
         return out, sizes
 
 
+@functools.lru_cache(maxsize=2)
+def word_ids_of(vocabulary: str) -> WordIds:
+    """The words of a vocabulary, kept by the worker process for its next tasks.
+
+    It forgets them when it knows more than ``MOST``.
+    """
+    return WordIds(load_tokenizer(vocabulary))
+
+
 def _stem(word: str) -> tuple[str, str]:
     """A word without a last full stop or comma, in lower case if it is all ASCII letters."""
     tail = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() else ""
@@ -180,9 +191,9 @@ def tokenize_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words_ids = WordIds(load_tokenizer(vocabulary))
+        words_ids = word_ids_of(vocabulary)
         for batch in batches:
-            for part in _slices(batch, 8_000_000):
+            for part in _slices(batch, SLICE_CHARS):
                 yield _pieces(part, words_ids, capacity, end)
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string"))
