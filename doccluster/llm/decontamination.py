@@ -19,11 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doccluster.llm.columns import unused
 from doccluster.sources.scratch import materialize, scratch_path
 
 WINDOW = 10
 # Text bytes per segment, phrases per block, and candidate places per step.
-SEGMENT_BYTES = 32_000_000
+SEGMENT_BYTES = 12_000_000
 BLOCK_PHRASES = 50_000
 STEP_PLACES = 4_000_000
 # Positions between two documents; longer phrases or slops are refused.
@@ -101,6 +102,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 if segment.size >= SEGMENT_BYTES:
                     yield segment.rows(number)
                     number, segment = number + 1, _Segment()
+                    pa.default_memory_pool().release_unused()
         if segment.ids:
             yield segment.rows(number)
 
@@ -297,14 +299,17 @@ def contamination(
     owned = materialize(
         windows(items, item_col, item_text_col)
         .select(
-            F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-            F.xxhash64(F.array_join("terms", " ")).alias("window_id"),
-            "terms",
+            F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "terms"
         )
         .distinct(),
         "windows",
     )
-    wanted = materialize(owned.groupBy("window_id").agg(F.first("terms").alias("terms")), "wanted")
+    # numbered once they are written, by their terms and not by a hash of them
+    wanted = materialize(
+        owned.select("terms").distinct().withColumn("window_id", F.monotonically_increasing_id()),
+        "wanted",
+    )
+    owned = owned.join(wanted, "terms").select("window_id", "item")
     matches = materialize(phrase_matches(index, wanted), "matches")
     key = ["segment", "place"]
     # end of the words counted so far, and their number, along the sorted spans
@@ -355,13 +360,20 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a window of an item; all columns stay."""
-    numbered = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+    """``docs`` without the rows that hold a window of an item.
+
+    All columns stay, whatever their names; null and empty texts hold no window.
+    """
+    uid = unused(docs, "_uid")
+    numbered = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
     found = contamination(
-        numbered.select("_uid", F.col(text_col).alias("_text")), items, "_uid", "_text"
+        numbered.select(F.col(uid).alias("_uid"), F.col(text_col).alias("_text")),
+        items,
+        "_uid",
+        "_text",
     )
-    hit = materialize(found.filter("n_hit > 0").select(F.col("doc_id").alias("_uid")), "hit")
-    return numbered.join(hit, "_uid", "left_anti").select(*docs.columns)
+    hit = materialize(found.filter("n_hit > 0").select(F.col("doc_id").alias(uid)), "hit")
+    return numbered.join(hit, uid, "left_anti").select(*docs.columns)
 
 
 def _sql_words(text: str) -> str:

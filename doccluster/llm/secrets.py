@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ RULES = (
 # ----------------------------------------------------------------------------
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 MASK = "[SECRET]"
+# Texts that are Python strings at the same time.
+BATCH_ROWS = 256
 
 
 @functools.cache
@@ -87,9 +90,13 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     """
     scanner = scanner_of(rules)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([masked(t, text_spans(scanner, t)) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        parts = []
+        for low in range(0, len(texts), BATCH_ROWS):
+            some = texts.slice(low, BATCH_ROWS).to_pylist()
+            parts.append(pa.array([masked(t, text_spans(scanner, t)) for t in some], pa.string()))
+        return pa.concat_arrays(parts) if parts else texts
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     if "n_chars" in docs.columns:

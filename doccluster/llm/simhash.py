@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doccluster.llm.components import components
+from doccluster.llm.columns import unused
 from doccluster.sources.scratch import materialize
 
 SEED = 42
@@ -251,11 +252,14 @@ def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group, the one of the smallest id.
 
     Among rows of equal ids one stays, null ids count as largest. All columns
-    are kept.
+    are kept, whatever their names.
     """
-    numbered = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+    uid = unused(docs, "_uid")
+    numbered = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(
-        numbered.select("_uid", "doc_id", F.col(text_col).alias("_text")), ("_uid", "doc_id"), "_text"
+        numbered.select(F.col(uid).alias("_uid"), "doc_id", F.col(text_col).alias("_text")),
+        ("_uid", "doc_id"),
+        "_text",
     )
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_uid")
     first = materialize(
@@ -263,8 +267,9 @@ def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "first",
     )
     # the rows to drop are the shorter list, so the texts move only where even that is long
-    dropped = materialize(found.select("_uid").join(first, "_uid", "left_anti"), "dropped")
-    return numbered.join(dropped, "_uid", "left_anti").select(*docs.columns)
+    dropped = found.select("_uid").join(first, "_uid", "left_anti")
+    dropped = materialize(dropped.withColumnRenamed("_uid", uid), "dropped")
+    return numbered.join(dropped, uid, "left_anti").select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,5 +272,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score at the threshold or above."""
-    return docs.filter(scored(docs.sparkSession, model, F.col(text_col)) < THRESHOLD)
+    """``docs`` without the rows that score at the threshold or above.
+
+    Null and empty texts stay: their score is the share of toxic labels alone.
+    """
+    none = F.coalesce(F.length(text_col), F.lit(0)) == 0
+    return docs.filter(none | (scored(docs.sparkSession, model, F.col(text_col)) < THRESHOLD))

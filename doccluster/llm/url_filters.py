@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from doccluster.llm.columns import unused
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 # Days per bucket of the as-of join.
 BUCKET_DAYS = 32
@@ -83,15 +85,19 @@ def active_entries(captures: DataFrame, intervals: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures`` with ``domain, valid_from, valid_to, action`` of the entry that decides.
 
-    ``captures`` holds ``host`` and ``day`` besides other columns. These four
-    are null where no entry was valid, or host or day is null; repeated rows
-    stay. The join back is on host and day together.
+    ``captures`` holds ``host`` and ``day`` besides other columns, which all
+    stay. Where one of them has the name of one of the four, the entry's column
+    has underscores before its name. The four are null where no entry was valid,
+    or host or day is null; repeated rows stay. The join back is on host and day
+    together.
     """
-    decided = active_entries(captures, validity(entries))
-    renamed = decided.withColumnsRenamed({"host": "_host", "day": "_day"})
+    decided = active_entries(captures.select("host", "day"), validity(entries))
+    names = {column: unused(captures, column) for column in decided.columns}
+    host, day = names["host"], names["day"]
+    renamed = decided.withColumnsRenamed(names)
     return captures.join(
-        renamed, (captures["host"] == F.col("_host")) & (captures["day"] == F.col("_day")), "left"
-    ).drop("_host", "_day")
+        renamed, (captures["host"] == F.col(host)) & (captures["day"] == F.col(day)), "left"
+    ).drop(host, day)
 
 
 def _number(text: Column) -> Column:
