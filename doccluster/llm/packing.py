@@ -34,7 +34,7 @@ HANDED_OVER = 256
 # Bits for the sequences of one group in a sequence's number.
 BIN_BITS = 24
 # Characters of the texts that are words at the same time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 8_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -57,10 +57,10 @@ class WordIds:
     """
 
     JOINED = 512
-    MOST = 120_000
+    MOST = 400_000
 
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, most: int = MOST) -> None:
+        self.tokenizer, self.most = tokenizer, most
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
@@ -97,7 +97,7 @@ class WordIds:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct ``words`` one after the other, and each word's number of ids."""
-        if len(self.known) > self.MOST:
+        if len(self.known) > self.most:
             self._forget()
         stems, tails = zip(*map(_stem, words)) if words else ((), ())
         self._learn([w for w in dict.fromkeys(stems) if w not in self.known])
@@ -117,12 +117,12 @@ class WordIds:
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids_of(vocabulary: str) -> WordIds:
+def word_ids_of(vocabulary: str, most: int) -> WordIds:
     """The words of a vocabulary, kept by the worker process for its next tasks.
 
-    It forgets them when it knows more than ``MOST``.
+    It forgets them when it knows more than ``most``.
     """
-    return WordIds(load_tokenizer(vocabulary))
+    return WordIds(load_tokenizer(vocabulary), most)
 
 
 def _stem(word: str) -> tuple[str, str]:
@@ -181,19 +181,23 @@ def tokenize_pieces(
     vocabulary: str = VOCABULARY,
     capacity: int = CAPACITY,
     end: int = END,
+    slice_chars: int = SLICE_CHARS,
+    most_words: int = WordIds.MOST,
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``, ids as little-endian 32-bit words.
 
     A document is its ids followed by the id ``end``; a null or empty text is
     that one id. Only documents longer than ``capacity`` are cut, into pieces
     of that length; the last may be shorter. Repeated rows and null ids stay.
+    A worker holds the words of ``slice_chars`` characters at a time and
+    remembers ``most_words`` words: less memory, more work.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words_ids = word_ids_of(vocabulary)
+        words_ids = word_ids_of(vocabulary, most_words)
         for batch in batches:
-            for part in _slices(batch, SLICE_CHARS):
+            for part in _slices(batch, slice_chars):
                 yield _pieces(part, words_ids, capacity, end)
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string"))
@@ -389,6 +393,7 @@ def pack_documents(
     text_col: str = "text",
     vocabulary: str = VOCABULARY,
     capacity: int = CAPACITY,
+    **memory: int,
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ..., sequence_id, offset)`` of every piece.
 
@@ -397,7 +402,7 @@ def pack_documents(
     table gives an empty result.
     """
     digest = {"ids": F.col("ids")} if digest is None else digest
-    pieces = tokenize_pieces(docs, id_col, text_col, vocabulary, capacity)
+    pieces = tokenize_pieces(docs, id_col, text_col, vocabulary, capacity, **memory)
     pieces = numbered(
         pieces.select("doc_id", "piece", "start", "length", *[c.alias(n) for n, c in digest.items()]),
         "pieces",
@@ -423,8 +428,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(docs)
 
 
-def packed_digest(docs: DataFrame) -> DataFrame:
-    packed = pack_documents(docs, {"ids_crc32": F.crc32("ids")})
+def packed_digest(docs: DataFrame, **memory: int) -> DataFrame:
+    """Pieces with the CRC-32 of their ids; ``memory`` as for :func:`tokenize_pieces`."""
+    packed = pack_documents(docs, {"ids_crc32": F.crc32("ids")}, **memory)
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
