@@ -1,24 +1,34 @@
 """Even shards by balanced label propagation over links between documents.
 
-Documents are linked through hubs: rows with equal texts share one. A large
-group has, besides the hub of the whole group, hubs for bounded parts of it.
-A document starts in the shard that the hash of its part names. In each round
-it wants to move to the shard where most members of one of its hubs are, among
-shards with room, and moves if the target's quota allows; parts move as a
-whole. What exceeds a quota in the end is taken out again, and it and all
-documents without links fill the shards up to their quotas, so row counts
-differ by one at most, whatever the links are.
+Documents are linked through hubs: rows with equal texts share one. A document
+starts in the shard that the hash of its row names, apart from its neighbours.
+In each round it wants to move to the shard where most members of its hub are.
+A hub of more rows than a quota needs several shards: its members want into as
+many of its best ones, bounded parts of the group dealt to them by hash, so no
+vote sends more than it must to one shard. Between two shards as many rows move
+one way as the other way; beyond that a shard takes what its quota leaves room
+for. A shard that could take none is left out of later votes. What exceeds a
+quota in the end is taken out again, and it and all documents without links
+fill the shards up to their quotas, so row counts differ by one at most,
+whatever the links are.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doccluster.sources.scratch import materialize
 
+log = logging.getLogger(__name__)
+
 SHARDS = 40
 ROUNDS = 20
+# Between rounds a shard may hold a tenth more than its quota, so that full
+# shards can trade in circles; the end takes whole parts out again.
+SLACK = 10
 # Rows of the largest part of a group, and of a range that one task numbers.
 PART_ROWS = 50_000
 RANGE_ROWS = 20_000
@@ -47,11 +57,9 @@ def text_links(docs: DataFrame, quota: int) -> DataFrame:
     )
     groups = materialize(groups, "groups")
     part = F.xxhash64("digest", F.pmod(F.xxhash64("uid"), F.col("parts")))
-    members = docs.join(groups, docs["digest"] == groups["group"]).select(
-        "uid", "parts", part.alias("part"), F.xxhash64("digest").alias("whole")
+    return docs.join(groups, docs["digest"] == groups["group"]).select(
+        "uid", F.xxhash64("digest").alias("hub"), part.alias("part")
     )
-    hubs = F.when(F.col("parts") > 1, F.array("part", "whole")).otherwise(F.array("part"))
-    return members.select("uid", "part", F.explode(hubs).alias("hub"))
 
 
 def _accepted(wanted: DataFrame, room: list[int]) -> DataFrame:
@@ -71,70 +79,116 @@ def _accepted(wanted: DataFrame, room: list[int]) -> DataFrame:
 
 
 def _loads(state: DataFrame, shards: int) -> list[int]:
-    rows = state.filter("hub = part").groupBy("shard").count().collect()
     loads = [0] * shards
-    for row in rows:
+    for row in state.groupBy("shard").count().collect():
         loads[row.shard] = row["count"]
     return loads
 
 
-def _round(state: DataFrame, room: list[int]) -> DataFrame:
-    """``(uid, shard, bucket)`` of documents that want to move, with the target."""
-    counts = materialize(state.groupBy("hub", "shard").agg(F.count("*").alias("n")), "votes")
-    best = materialize(
-        counts.filter(_per_shard(room) > 0)
-        .groupBy("hub")
-        .agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("best")),
-        "best",
+def _spots(counts: DataFrame, quota: int) -> DataFrame:
+    """``(hub, all, spots)``: rows of each hub and its best shards, as many as its rows need.
+
+    Equal counts are told apart by a hash of hub and shard, so small groups
+    spread over all shards.
+    """
+    rank = F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")
+    ranked = counts.groupBy("hub").agg(
+        F.sum("n").alias("all"), F.sort_array(F.collect_list(rank), asc=False).alias("ranked")
     )
-    own = counts.withColumnRenamed("n", "here")
-    votes = (
-        state.join(best, "hub")
+    needed = F.least(F.size("ranked"), F.ceil(F.col("all") / max(1, quota)).cast("int"))
+    return ranked.select("hub", "all", F.slice("ranked", 1, needed).alias("spots"))
+
+
+def _cut(counts: DataFrame, quota: int) -> int:
+    """Links of members to their hub that lead out of the hub's best shards."""
+    inside = F.aggregate("spots", F.lit(0).cast("bigint"), lambda total, spot: total + spot["n"])
+    apart = _spots(counts, quota).agg(F.sum(F.col("all") - inside).alias("apart"))
+    return apart.first().apart or 0
+
+
+def _wishes(state: DataFrame, counts: DataFrame, closed: set[int], quota: int) -> DataFrame:
+    """``(uid, part, source, shard)`` of documents that want to move to ``shard``."""
+    open_counts = counts.filter(~F.col("shard").isin(list(closed))) if closed else counts
+    spots = _spots(open_counts, quota).select("hub", "spots")
+    own = counts.select("hub", "shard", F.col("n").alias("here"))
+    spot = F.element_at("spots", (F.pmod(F.xxhash64("part"), F.size("spots")) + 1).cast("int"))
+    mine = F.struct("here", F.xxhash64("hub", "shard").alias("tie"), "shard")
+    return (
+        state.join(spots, "hub")
         .join(own, ["hub", "shard"])
-        .groupBy("uid")
-        .agg(
-            F.max("best").alias("best"),
-            F.max("here").alias("here"),
-            F.first("part").alias("part"),
-        )
-        .filter("best.n > here")
-    )
-    return votes.select(
-        "uid", (-F.col("best.s")).alias("shard"), _bucket(F.col("part"), BUCKETS).alias("bucket")
+        .select("uid", "part", F.col("shard").alias("source"), spot.alias("best"), mine.alias("own"))
+        .filter("best > own")
+        .select("uid", "part", "source", F.col("best.shard").alias("shard"))
     )
 
 
-def place_linked(links: DataFrame, quotas: list[int]) -> DataFrame:
-    """``(uid, part, shard)`` of the linked documents that fit into the quotas."""
-    shards = len(quotas)
+def _allowance(flows: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """Rows that may move from one shard to another: exchanges, then what room is left for."""
+    room, allowed = list(room), {}
+    for (source, target), asked in sorted(flows.items()):
+        exchanged = min(asked, flows.get((target, source), 0))
+        more = min(asked - exchanged, room[target])
+        room[target] -= more
+        allowed[source, target] = exchanged + more
+    return allowed
+
+
+def _moves(wishes: DataFrame, flows: dict[tuple[int, int], int], allowed: dict[tuple[int, int], int]) -> DataFrame:
+    """``(moved, target)``: as many wishes as allowed, rows of one part one after the other."""
+    if flows != allowed:
+        ranges = max(1, -(-max(flows.values()) // RANGE_ROWS))
+        # one row per pair of shards
+        limits = wishes.sparkSession.createDataFrame(
+            [(s, t, n) for (s, t), n in allowed.items()], "source int, shard int, allowed bigint"
+        )
+        queued = _numbered(wishes, ["source", "shard"], ["part", "uid"], ranges, "position")
+        wishes = queued.join(F.broadcast(limits), ["source", "shard"]).filter("position < allowed")
+    return wishes.select(F.col("uid").alias("moved"), F.col("shard").alias("target"))
+
+
+def propagate(links: DataFrame, quotas: list[int]) -> tuple[DataFrame, list[int]]:
+    """``(uid, part, hub, shard)`` after the rounds, and the cut links before each of them."""
+    shards, quota = len(quotas), max(quotas)
     state = materialize(
-        links.select("uid", "part", "hub", _bucket(F.col("part"), shards).alias("shard")), "state"
+        links.select("uid", "part", "hub", _bucket(F.col("uid"), shards).alias("shard")), "state"
     )
-    closed: set[int] = set()
+    loads, closed, cuts = _loads(state, shards), set(), []
     for _ in range(ROUNDS):
-        room = [
-            0 if shard in closed else max(0, quota - load)
-            for shard, (quota, load) in enumerate(zip(quotas, _loads(state, shards)))
-        ]
-        wanted = materialize(_round(state, room), "wanted")
-        asked = wanted.groupBy("shard").count().collect()
-        # a target that cannot take all who want it is as full as it will get
-        closed |= {r.shard for r in asked if r["count"] > room[r.shard]}
-        if not asked:
+        counts = materialize(state.groupBy("hub", "shard").agg(F.count("*").alias("n")), "votes")
+        cuts.append(_cut(counts, quota))
+        # two rounds without a gain settle it
+        if not cuts[-1] or (len(cuts) > 2 and cuts[-1] >= cuts[-3]):
             break
-        moves = materialize(
-            wanted.join(_accepted(wanted, room), ["shard", "bucket"]).select(
-                F.col("uid").alias("moved"), F.col("shard").alias("target")
-            ),
-            "moves",
-        )
+        wishes = materialize(_wishes(state, counts, closed, quota), "wishes")
+        flows = {
+            (r.source, r.shard): r["count"] for r in wishes.groupBy("source", "shard").count().collect()
+        }
+        allowed = _allowance(flows, [max(0, most + most // SLACK - load) for most, load in zip(quotas, loads)])
+        taken = {target: 0 for _, target in flows}
+        for (source, target), n in allowed.items():
+            taken[target] += n
+            loads[source] -= n
+            loads[target] += n
+        full = {target for target, n in taken.items() if not n} - closed
+        log.info("cut links %d, wishes %d, moves %d", cuts[-1], sum(flows.values()), sum(taken.values()))
+        if not any(taken.values()) and not full:
+            break
+        closed |= full
+        moves = materialize(_moves(wishes, flows, allowed), "moves")
         state = materialize(
             state.join(moves, F.col("uid") == F.col("moved"), "left").select(
                 "uid", "part", "hub", F.coalesce("target", "shard").alias("shard")
             ),
             "state",
         )
-    placed = state.filter("hub = part").select(
+    return state, cuts
+
+
+def place_linked(links: DataFrame, quotas: list[int]) -> DataFrame:
+    """``(uid, part, shard)`` of the linked documents that fit into the quotas."""
+    state, cuts = propagate(links, quotas)
+    log.info("cut links by round: %s", cuts)
+    placed = state.select(
         "uid", "part", "shard", _bucket(F.col("part"), BUCKETS).alias("bucket")
     )
     return materialize(
@@ -174,7 +228,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     quotas = [total // shards + (n < total % shards) for n in range(shards)]
     links = text_links(docs, quotas[-1])
     placed = place_linked(links, quotas)
-    parts = materialize(links.filter("hub = part").select("uid", "part"), "parts")
+    parts = materialize(links.select("uid", "part"), "parts")
     rest = (
         docs.select("uid")
         .join(placed.select("uid"), "uid", "left_anti")

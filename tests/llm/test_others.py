@@ -175,6 +175,40 @@ def test_shards_are_even_and_keep_equal_texts_together(spark):
     assert {r.size for r in rows if r.text_crc32 == 0} == {16}
 
 
+def links_of(spark, texts, shards):
+    base = spark.createDataFrame(list(enumerate(texts)), "uid bigint, text string")
+    base = materialize(base.select("uid", F.unhex(F.sha2("text", 256)).alias("digest")), "base")
+    quotas = [len(texts) // shards + (n < len(texts) % shards) for n in range(shards)]
+    return sharding.text_links(base, quotas[-1]), quotas
+
+
+def test_propagation_gathers_links(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    links, quotas = links_of(spark, [r.text for r in docs.select("text").collect()], 40)
+    state, cuts = sharding.propagate(links, quotas)
+    assert cuts[0] > 0 and cuts[-1] == 0
+    # the cut by hand: members outside the shard of most of their hub
+    hubs = {}
+    for r in state.collect():
+        hubs.setdefault(r.hub, []).append(r.shard)
+    assert all(len(set(h)) == 1 for h in hubs.values())
+
+
+def test_full_shards_exchange(spark):
+    # every document has a partner, so no shard has room to spare
+    links, quotas = links_of(spark, [f"text {n // 2}" for n in range(800)], 8)
+    state, cuts = sharding.propagate(links, quotas)
+    assert cuts[0] > 300 and cuts[-1] <= cuts[0] // 10
+    assert cuts == sorted(cuts, reverse=True)
+    assert state.select("uid").distinct().count() == 800
+
+
+def test_allowance_keeps_quotas():
+    flows = {(0, 1): 7, (1, 0): 4, (2, 1): 5, (0, 2): 3}
+    allowed = sharding._allowance(flows, [0, 2, 0])
+    assert allowed == {(0, 1): 6, (1, 0): 4, (2, 1): 0, (0, 2): 0}
+
+
 def test_shards_of_few_or_no_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string")
     assert sorted(r.slot for r in sharding.shard_documents(docs, shards=8).collect()) == [0, 0, 0]
