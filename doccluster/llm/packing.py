@@ -3,13 +3,17 @@
 Documents become token ids, are cut into pieces of at most ``capacity`` tokens,
 and the pieces are packed: groups of bounded size are packed by best-fit
 decreasing, and a lower bound from dual feasible functions certifies a group's
-number of sequences. Then groups exchange the pieces of their emptiest
-sequences and pack those again, fewer groups each round, until one is left.
+number of sequences. Groups with a gap between the two exchange the pieces of
+their emptiest sequences and pack those again, fewer groups each round. A
+certified group keeps its sequences, but for the emptiest one, which holds
+what rounding up to whole sequences left free. The exchange ends when the
+bound over all pieces is reached or one group is left.
 """
 
 from __future__ import annotations
 
 import functools
+import logging
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -23,14 +27,15 @@ from pyspark.sql import functions as F
 
 from doccluster.sources.scratch import materialize
 
+log = logging.getLogger(__name__)
+
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
 # Pieces that one group packs in the first round, on average.
 GROUP_ROWS = 50_000
-# Groups that exchange pieces in a later round, and sequences each hands over.
+# Groups that meet in a later round; together they hand over the pieces of one group.
 EXCHANGE = 8
-HANDED_OVER = 256
 # Bits for the sequences of one group in a sequence's number.
 BIN_BITS = 24
 # Characters of the texts that are words at the same time.
@@ -265,37 +270,56 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Fewest sequences that any packing needs, by dual feasible functions.
+    """Fewest sequences that any packing needs, see :func:`bound_of_counts`."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """The bound for ``counts[n]`` pieces of each length ``n``, by dual feasible functions.
 
     Two families: lengths below a threshold count nothing and those above
     ``capacity`` less the threshold count whole; and lengths rounded to k-ths
     of the capacity. Both hold for every threshold and k.
     """
-    count = np.bincount(lengths, minlength=capacity + 1).astype(object)
-    sizes = np.arange(capacity + 1, dtype=object)
-    plain = (count * sizes).astype(np.int64)
-    number = count.astype(np.int64)
-    total, seen = np.cumsum(plain), np.cumsum(number)
+    sizes = np.arange(capacity + 1)
+    number = np.asarray(counts, np.int64)
+    total, seen = np.cumsum(number * sizes), np.cumsum(number)
     best = -(-int(total[-1]) // capacity)
     for low in range(1, capacity // 2 + 1):
         whole = int(seen[-1] - seen[capacity - low])
         middle = int(total[capacity - low] - total[low - 1])
         best = max(best, whole + -(-middle // capacity))
-    values = np.arange(capacity + 1)
     for k in range(1, 21):
-        exact = (values * (k + 1)) % capacity == 0
+        exact = (sizes * (k + 1)) % capacity == 0
         # k times the function's value, which is a whole number or a share of capacity
-        weight = np.where(exact, values * k, capacity * ((values * (k + 1)) // capacity))
-        best = max(best, -(-int((weight * number).sum()) // (k * capacity)))
+        weight = np.where(exact, sizes * k, capacity * ((sizes * (k + 1)) // capacity))
+        best = max(best, -(-int((weight.astype(object) * number).sum()) // (k * capacity)))
     return best
 
 
-def _repack(pdf: pd.DataFrame, capacity: int, hand_over: int) -> pd.DataFrame:
+def _handed_over(
+    where: np.ndarray, used: np.ndarray, capacity: int, certified: bool, most_pieces: int
+) -> np.ndarray:
+    """Which sequences a group hands over: emptiest first, full ones never.
+
+    A certified group hands over one. A group with a gap hands over as many as
+    hold ``most_pieces`` pieces together, one at least; what it keeps is the
+    fuller part.
+    """
+    emptiest = np.argsort(used, kind="stable")
+    held = np.cumsum(np.bincount(where, minlength=len(used))[emptiest])
+    count = 1 if certified else max(1, int(np.searchsorted(held, most_pieces, side="right")))
+    on = np.zeros(len(used), bool)
+    chosen = emptiest[:count]
+    on[chosen[used[chosen] < capacity]] = True
+    return on
+
+
+def _repack(pdf: pd.DataFrame, capacity: int, most_pieces: int) -> pd.DataFrame:
     """Pack one group anew and mark the pieces that go on to the next round.
 
     The old packing is kept where the new one is no better. A group without a
-    gap between its sequences and its bound is certified. The emptiest
-    sequences are handed over, at most ``hand_over`` of them, full ones never.
+    gap between its sequences and its bound is certified.
     """
     lengths = pdf["length"].to_numpy(np.int64)
     where, offset = best_fit_decreasing(lengths, capacity)
@@ -306,9 +330,8 @@ def _repack(pdf: pd.DataFrame, capacity: int, hand_over: int) -> pd.DataFrame:
         offset = pdf["offset"].to_numpy(np.int64)
         number = held
     used = np.bincount(where, weights=lengths, minlength=number).astype(np.int64)
-    emptiest = np.argsort(used, kind="stable")[:hand_over]
-    on = np.zeros(number, bool)
-    on[emptiest[used[emptiest] < capacity]] = True
+    certified = number == lower_bound(lengths, capacity)
+    on = _handed_over(where, used, capacity, certified, most_pieces)
     group = int(pdf["group"].iloc[0])
     return pd.DataFrame(
         {
@@ -318,7 +341,7 @@ def _repack(pdf: pd.DataFrame, capacity: int, hand_over: int) -> pd.DataFrame:
             "sequence": (np.int64(pdf["round"].iloc[0]) << 56) | (np.int64(group) << BIN_BITS) | where,
             "offset": offset,
             "goes_on": on[where],
-            "certified": number == lower_bound(lengths, capacity),
+            "certified": certified,
         }
     )
 
@@ -329,24 +352,34 @@ PACKED = (
 )
 
 
+def least_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> int:
+    """The bound over all pieces of a table with ``length``."""
+    # one row per length, at most ``capacity`` of them
+    rows = pieces.groupBy("length").count().collect()
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in rows:
+        counts[row.length] = row["count"]
+    return bound_of_counts(counts, capacity)
+
+
 def pack_lengths(
     pieces: DataFrame,
     capacity: int = CAPACITY,
     group_rows: int = GROUP_ROWS,
     exchange: int = EXCHANGE,
-    hand_over: int = HANDED_OVER,
 ) -> DataFrame:
     """``(uid, sequence_id, offset)`` for a written table ``(uid, length)``.
 
     ``uid`` is unique, lengths lie between 1 and ``capacity``. Pieces of full
-    length are sequences by themselves. Every group has a bounded number of
-    pieces: about ``group_rows`` in the first round, later at most the pieces
-    of ``exchange * hand_over`` sequences. Each round is written.
+    length are sequences by themselves. A group has about ``group_rows`` pieces
+    in the first round; later it has as many at most, or one sequence of each
+    of ``exchange`` groups. Each round is written.
     """
     full = pieces.filter(F.col("length") == capacity).select(
         "uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
     )
     short = pieces.filter(F.col("length") < capacity).select("uid", "length")
+    bound = least_sequences(short, capacity)
     groups = max(1, -(-short.count() // group_rows))
     none = F.lit(None).cast("bigint")
     state = short.select(
@@ -356,21 +389,35 @@ def pack_lengths(
         none.alias("sequence"),
         none.alias("offset"),
     )
-    done, turn = [full], 0
+    done, turn, settled = [full], 0, 0
+    most_pieces = group_rows // exchange
 
     def repack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _repack(pdf, capacity, hand_over)
+        return _repack(pdf, capacity, most_pieces)
 
     while True:
         packed = materialize(
             state.withColumn("round", F.lit(turn)).groupBy("group").applyInPandas(repack, PACKED),
             "packed",
         )
-        last = groups == 1
+        # each sequence has one piece at offset 0
+        counts = packed.filter("offset = 0").agg(
+            F.count_if("goes_on").alias("going"),
+            F.count_if(~F.col("goes_on")).alias("staying"),
+            F.count_if(~F.col("certified")).alias("uncertified"),
+        )
+        count = counts.first()
+        number = settled + count.going + count.staying
+        log.info(
+            "round %d: %d groups, %d sequences against a bound of %d, %d in groups with a gap",
+            turn, groups, number, bound, count.uncertified,
+        )
+        last = groups == 1 or not count.going or number == bound
         final = packed if last else packed.filter("NOT goes_on")
         done.append(final.select("uid", F.col("sequence").alias("sequence_id"), "offset"))
         if last:
             return functools.reduce(DataFrame.unionByName, done)
+        settled += count.staying
         groups, turn = -(-groups // exchange), turn + 1
         state = packed.filter("goes_on").select(
             "uid",

@@ -51,7 +51,7 @@ def test_groups_exchange_until_one_is_left(spark):
     rng = np.random.default_rng(2)
     lengths = [int(n) for n in rng.integers(1, 101, 3000)]
     pieces = spark.createDataFrame(list(enumerate(lengths)), "uid bigint, length bigint")
-    packed = packing.pack_lengths(pieces, 100, group_rows=100, exchange=4, hand_over=16).collect()
+    packed = packing.pack_lengths(pieces, 100, group_rows=100, exchange=4).collect()
     assert sorted(r.uid for r in packed) == list(range(3000))
     filled = {}
     for r in sorted(packed, key=lambda r: r.offset):
@@ -63,6 +63,27 @@ def test_groups_exchange_until_one_is_left(spark):
     assert least <= len(filled) <= 1.04 * least
 
 
+def test_gaps_close_by_exchange(spark, caplog):
+    # the bound of all pieces is 40: every 60 meets a 40. Dealt to ten groups by hash they do not.
+    lengths = [60] * 40 + [40] * 40
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "uid bigint, length bigint")
+    with caplog.at_level("INFO", logger=packing.__name__):
+        packed = packing.pack_lengths(pieces, 100, group_rows=8, exchange=10)
+    assert packing.least_sequences(pieces, 100) == 40
+    number = [r.args[2] for r in caplog.records]
+    assert len({r.sequence_id for r in packed.collect()}) == number[-1] < number[0]
+
+
+def test_certified_groups_keep_their_sequences():
+    where = np.array([0, 0, 1, 2, 2, 3])
+    used = np.array([100, 70, 60, 90])
+    keep = packing._handed_over(where, used, 100, True, 100)
+    assert keep.tolist() == [False, False, True, False]
+    gap = packing._handed_over(where, used, 100, False, 3)
+    assert gap.tolist() == [False, True, True, False]
+    assert not packing._handed_over(np.array([0]), np.array([100]), 100, False, 9).any()
+
+
 def test_pack_documents(spark, tokenizer):
     texts = [None, "", "hello world", "hello world", "word " * 5000, "x" * 9000]
     rows = [(n, t, n) for n, t in enumerate(texts)] + [(3, texts[3], 0), (None, "null id", 0)]
