@@ -13,6 +13,7 @@ bound over all pieces is reached or one group is left.
 from __future__ import annotations
 
 import functools
+import itertools
 import logging
 import os
 import unicodedata
@@ -80,44 +81,55 @@ class WordIds:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in encoded]
 
-    def _learn(self, stems: list[str]) -> None:
-        joint = [w for w in stems if _one_word(w)]
-        apart = [w for w in stems if not _one_word(w)]
+    def _learn(self, stems: list[str], letters: np.ndarray) -> np.ndarray:
+        """Each new stem's number; ``letters`` says which are ASCII letters only."""
+        one_word = np.fromiter((a or _one_word(w) for w, a in zip(stems, letters)), bool, len(stems))
+        order = np.argsort(~one_word, kind="stable")
+        words = [stems[n] for n in order]
+        joint = int(one_word.sum())
         parts = [
-            " ".join(joint[n : n + self.JOINED]) for n in range(0, len(joint), self.JOINED)
+            " ".join(words[n : min(n + self.JOINED, joint)]) for n in range(0, joint, self.JOINED)
         ]
-        flat = np.array([i for ids in self._encode(parts) for i in ids], np.uint32)
+        flat = _joined(self._encode(parts))
         last = np.flatnonzero(self.ends[flat]) + 1
-        if len(last) != len(joint):  # not a vocabulary with one end per word
-            joint, apart, flat, last = [], stems, flat[:0], last[:0]
-        lists = self._encode(apart)
-        more = np.array([i for ids in lists for i in ids], np.uint32)
+        if len(last) != joint:  # not a vocabulary with one end per word
+            joint, flat, last = 0, flat[:0], last[:0]
+        lists = self._encode(words[joint:])
         sizes = np.concatenate([np.diff(last, prepend=0), np.array([*map(len, lists)], np.int64)])
         starts = np.cumsum(sizes) - sizes + len(self.flat)
-        for word in (*joint, *apart):
-            self.known[word] = len(self.known)
-        self.flat = np.concatenate([self.flat, flat, more])
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.flat = np.concatenate([self.flat, flat, _joined(lists)])
         self.start = np.concatenate([self.start, starts]).astype(np.int64)
         self.size = np.concatenate([self.size, sizes]).astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(first, first + len(words))
+        return number
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct ``words`` one after the other, and each word's number of ids."""
         if len(self.known) > self.most:
             self._forget()
-        stems, tails = zip(*map(_stem, words)) if words else ((), ())
-        self._learn([w for w in dict.fromkeys(stems) if w not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
-        extra = np.fromiter((len(self.tails.get(t, ())) for t in tails), np.int64, len(tails))
-        sizes = self.size[at] + extra if len(at) else extra
+        stems, tails = _stems(words)
+        coded = stems.dictionary_encode()
+        letters = pc.ascii_is_alpha(coded.dictionary).to_numpy(zero_copy_only=False)
+        names = coded.dictionary.to_pylist()
+        place = np.fromiter(map(self.known.get, names, itertools.repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(place < 0)
+        place[new] = self._learn([names[n] for n in new], letters[new])
+        at = place[coded.indices.to_numpy(zero_copy_only=False)]
+        extra = np.zeros(len(at), np.int64)
+        for mark, ids in self.tails.items():
+            extra[tails[mark]] = len(ids)
+        sizes = self.size[at] + extra
         ends = np.cumsum(sizes)
         out = np.empty(int(sizes.sum()), np.uint32)
         own = np.ones(len(out), bool)
         for mark, ids in self.tails.items():
-            where = ends[np.array([t == mark for t in tails], bool)]
+            where = ends[tails[mark]]
             for n, token in enumerate(reversed(ids), 1):
                 out[where - n], own[where - n] = token, False
-        if len(at):
-            out[own] = self.flat[_spread(self.start[at], self.size[at])]
+        out[own] = self.flat[_spread(self.start[at], self.size[at])]
         return out, sizes
 
 
@@ -130,11 +142,18 @@ def word_ids_of(vocabulary: str, most: int) -> WordIds:
     return WordIds(load_tokenizer(vocabulary), most)
 
 
-def _stem(word: str) -> tuple[str, str]:
-    """A word without a last full stop or comma, in lower case if it is all ASCII letters."""
-    tail = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() else ""
-    stem = word[:-1] if tail else word
-    return (stem.lower() if stem.isascii() and stem.isalpha() else stem), tail
+def _stems(words: pa.Array) -> tuple[pa.Array, dict[str, np.ndarray]]:
+    """Words without a full stop or comma that ends them after an ASCII letter, and
+    which words had either; words of ASCII letters only are in lower case."""
+    tailed = {c: pc.match_substring_regex(words, f"[A-Za-z][{c}]$") for c in ".,"}
+    either = functools.reduce(pc.or_, tailed.values())
+    stems = pc.if_else(either, pc.utf8_slice_codeunits(words, 0, -1), words)
+    stems = pc.if_else(pc.ascii_is_alpha(stems), pc.ascii_lower(stems), stems)
+    return stems, {c: t.to_numpy(zero_copy_only=False) for c, t in tailed.items()}
+
+
+def _joined(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(lists), np.uint32)
 
 
 def _one_word(word: str) -> bool:
@@ -160,7 +179,7 @@ def encode_texts(texts: pa.Array, words_ids: WordIds) -> tuple[np.ndarray, np.nd
     words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
     per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False)
     coded = words.flatten().dictionary_encode()
-    flat, sizes = words_ids.encode(coded.dictionary.to_pylist())
+    flat, sizes = words_ids.encode(coded.dictionary)
     starts = np.cumsum(sizes) - sizes
     at = coded.indices.to_numpy(zero_copy_only=False)
     ids = flat[_spread(starts[at], sizes[at])]
