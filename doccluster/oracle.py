@@ -391,24 +391,36 @@ def assignment_text(system: str) -> str:
     )
 
 
+# Names and sizes of the sweep's settings, and what parts the ids of two settings.
+SWEEP = (
+    ("all", None), ("10", 10), ("50", 50), ("100", 100), ("200", 200),
+    ("300", 300), ("500", 500), ("1k", 1000), ("1.5k", 1500),
+)
+APART = 10**15
+
+
 def sweep_sql(part: str) -> str:
-    """Settings all, 10 and 50, each with its own 20 rounds."""
+    """All settings, as one graph whose parts have ids of their own; 20 rounds."""
     ctes = [*PAIR_BASE, COSINE, both_ways("cosine"), GOLD]
-    selects = []
-    for tag, limit in (("all", None), ("10", 10), ("50", 50)):
-        p = f"s{tag}_"
+    graphs = []
+    for n, (_, limit) in enumerate(SWEEP):
         source = "cosine"
         if limit is not None:
-            source = f"{p}best"
+            source = f"best{n}"
             ctes.append(top_n("both_ways", limit, source))
-        ctes.append(preferences(source, median(source), f"{p}graph"))
-        ctes.append(directed(f"{p}graph", f"{p}messages", symmetric=True))
-        ctes += propagation(f"{p}messages", 20, p)
+        ctes.append(preferences(source, median(source), f"graph{n}"))
+        graphs.append(f"SELECT i + {n * APART} AS i, k + {n * APART} AS k, s FROM graph{n}")
+    ctes.append(f"graphs AS ({' UNION ALL '.join(graphs)})")
+    ctes.append(directed("graphs", "messages", symmetric=True))
+    ctes += propagation("messages", 20)
+    selects = []
+    for n, (tag, _) in enumerate(SWEEP):
+        p = f"s{n}_"
         ctes.append(
             f"{p}system AS MATERIALIZED (SELECT doc_id,"
             " dense_rank() OVER (ORDER BY exemplar) - 1 AS cluster_id FROM (SELECT d.doc_id,"
-            f" coalesce(exemplar, d.doc_id) AS exemplar FROM documents d LEFT JOIN {p}clusters c"
-            " ON c.doc_id = d.doc_id))"
+            f" coalesce(exemplar - {n * APART}, d.doc_id) AS exemplar FROM documents d"
+            f" LEFT JOIN clusters c ON c.doc_id = d.doc_id + {n * APART}))"
         )
         head = (
             f"SELECT 'all' AS category, 0 AS first, 1 AS last, '{tag}' AS setting,"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doccluster.operators.evaluation import (
@@ -18,14 +18,14 @@ from doccluster.operators.propagation import (
     affinity_propagation,
     auto_preferences,
     embed_preferences,
+    exemplars_of,
 )
-from doccluster.operators.ranking import dense_position
+from doccluster.operators.ranking import dense_position, exact_median
 from doccluster.operators.similarity import (
     cosine_similarity,
     euclidean_similarity,
     frey_similarity,
     symmetrize_edges,
-    top_n_neighbors,
 )
 from doccluster.sources.scratch import materialize
 from doccluster.sources.writers import append_report
@@ -101,23 +101,44 @@ def cluster_documents_ap(
     )
 
 
+def _setting_graphs(edges: DataFrame, settings: range, preference: float | str) -> DataFrame:
+    """``(i, k, s)`` with preferences, the graphs of all settings side by side.
+
+    A node is ``(setting, id)``. Every edge is ranked once among those of its
+    document; a setting keeps the edges up to its rank.
+    """
+    limits = {n: SWEEP_TOP_N[n] for n in settings}
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "k"))
+    ranked = symmetrize_edges(edges.filter(F.col("i") != F.col("k"))).withColumn("place", place)
+    if None not in limits.values():
+        ranked = ranked.filter(F.col("place") <= max(limits.values()))
+    chosen = [
+        F.lit(n) if limit is None else F.when(F.col("place") <= limit, F.lit(n))
+        for n, limit in limits.items()
+    ]
+    kept = materialize(
+        ranked.select(F.explode(F.array_compact(F.array(*chosen))).alias("setting"), "i", "k", "s"),
+        "setting-edges",
+    )
+    own = F.lit(0.0)
+    for n in settings:
+        value = preference
+        if preference == AUTO:
+            value = exact_median(kept.filter(F.col("setting") == n), "s")
+        own = F.when(F.col("setting") == n, F.lit(float(value or 0.0))).otherwise(own)
+    alone = kept.select("setting", "i").distinct().select("setting", "i", F.col("i").alias("k"), own.alias("s"))
+    nodes = [F.struct("setting", F.col(c).alias("id")).alias(c) for c in ("i", "k")]
+    return kept.unionByName(alone).select(*nodes, "s")
+
+
 def _sweep_setting(
     docs: DataFrame,
-    edges: DataFrame,
+    clusters: DataFrame,
     gold: DataFrame,
     tags: DataFrame,
     category: str,
     setting: int,
-    preference: float | str,
-    max_iter: int,
 ) -> tuple[DataFrame, DataFrame]:
-    top_n = SWEEP_TOP_N[setting]
-    graph = edges
-    if top_n is not None:
-        graph = materialize(top_n_neighbors(symmetrize_edges(edges), top_n), "pruned-edges")
-    clusters = affinity_propagation(
-        _with_preferences(graph, preference), max_iter, symmetric=True
-    )
     assignments = materialize(
         with_isolated_documents(docs, clusters).select("doc_id", "cluster_id"), "assignments"
     )
@@ -165,10 +186,14 @@ def ap_topn_sweep(
     """
     edges = materialize(cosine_similarity(docs), "edges")
     last = min(end, len(SWEEP_TAGS) - 1)
-    parts = [
-        _sweep_setting(docs, edges, gold, tags, category, setting, preference, max_iter)
-        for setting in range(start, last + 1)
-    ]
+    settings = range(start, last + 1)
+    chosen = exemplars_of(_setting_graphs(edges, settings, preference), max_iter, symmetric=True)
+    parts = []
+    for setting in settings:
+        clusters = chosen.filter(F.col("doc_id.setting") == setting).select(
+            F.col("doc_id.id").alias("doc_id"), F.col("exemplar.id").alias("exemplar")
+        )
+        parts.append(_sweep_setting(docs, clusters, gold, tags, category, setting))
     systems, results = zip(*parts)
     return reduce(DataFrame.unionByName, systems), reduce(DataFrame.unionByName, results)
 

@@ -172,7 +172,7 @@ def sweep(report: str) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, gold, tags = gold_standard(spark, sf_dir)
-        system, result = ap_topn_sweep(docs(spark, sf_dir), gold, tags, "auto", start=0, end=2)
+        system, result = ap_topn_sweep(docs(spark, sf_dir), gold, tags, "auto")
         path = scratch_path(spark, "sweep")
         append_sweep_reports(system, result, path)
         columns = result.dtypes if report == "result" else system.drop("chunk").dtypes
