@@ -198,7 +198,12 @@ def ap_topn_sweep(
     return reduce(DataFrame.unionByName, systems), reduce(DataFrame.unionByName, results)
 
 
-def append_sweep_reports(system: DataFrame, result: DataFrame, path: str) -> None:
-    """Append the sweep's rows to the reports ``system`` (9 columns) and ``result`` (14)."""
-    append_report(system.drop("chunk"), f"{path}/system")
-    append_report(result, f"{path}/result")
+def append_sweep_reports(
+    system: DataFrame, result: DataFrame, path: str, run: str | None = None
+) -> None:
+    """Append the sweep's rows to the reports ``system`` (9 columns) and ``result`` (14).
+
+    ``run`` names a job that may be repeated, see ``append_report``.
+    """
+    append_report(system.drop("chunk"), f"{path}/system", run)
+    append_report(result, f"{path}/result", run)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from doccluster.operators import propagation
+from doccluster.operators.similarity import symmetrize_edges, top_n_neighbors
+from doccluster.plans import clustering
 from doccluster.plans.clustering import (
     ap_topn_sweep,
     cluster_documents_ap,
@@ -159,3 +161,18 @@ def test_sweep_reports(topic_docs):
     assert line.sizes == "4|4|4|1"
     assert line.assignments.startswith("0 0|1 0|") and line.assignments.endswith("|12 3")
     assert result.first().purity == 1.0
+
+
+def test_settings_in_one_loop_equal_separate_graphs(spark):
+    edges = [(i, k, ((i * 7 + k * 13) % 29) / 29) for i in range(14) for k in range(i + 1, 14)]
+    df = spark.createDataFrame(edges, "i bigint, k bigint, s double")
+    settings = range(0, 3)
+    together = propagation.exemplars_of(clustering._setting_graphs(df, settings, "auto"), 6).collect()
+    for n in settings:
+        graph = df
+        if n:
+            graph = top_n_neighbors(symmetrize_edges(df), clustering.SWEEP_TOP_N[n])
+        alone = propagation.affinity_propagation(propagation.auto_preferences(graph), 6)
+        assert {r.doc_id.id: r.exemplar.id for r in together if r.doc_id.setting == n} == {
+            r.doc_id: r.exemplar for r in alone.collect()
+        }

@@ -93,3 +93,13 @@ def test_a_job_leaves_no_scratch_tables(spark, docs_of, tmp_path, monkeypatch):
     jobs.write_ap_clusters(docs, str(tmp_path / "out"), "C", "auto", 2, top_n=3)
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
     assert not any((tmp_path / "scratch" / "doccluster").iterdir())
+
+
+def test_report_of_a_named_run_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "report")
+    df = spark.createDataFrame([(1, None), (2, 0.5)], "n int, score double")
+    for run, rows in (("a/1", df), ("b", df.limit(1)), ("a/1", df)):
+        writers.append_report(rows, path, run)
+    lines = spark.read.text(path).groupBy("run").count().collect()
+    assert {r.run: r["count"] for r in lines} == {"a/1": 2, "b": 1}
+    assert {r.value for r in spark.read.text(path).filter("run = 'a/1'").collect()} == {"1\tNaN", "2\t0.5"}
