@@ -2,20 +2,25 @@
 
 A vector is its rows ``(doc_id, bucket, weight)``; a document without tokens
 has one row without a bucket. Centers are rows ``(bucket, center)`` with one
-weight per cluster, so a round is one join by bucket and one aggregation to one
-row per document, then one to one row per bucket. No vector is ever dense, and
-the driver sees k numbers a round.
+weight per cluster. For the rounds documents are packed into rows of arrays, once. A round
+reads them in one pass: a task assigns its documents and adds them up per
+cluster and bucket, and only these sums are shuffled, so a round shuffles no
+more for a larger table. Centers above BROADCAST_WEIGHTS are joined by bucket
+instead. No document is ever dense.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccluster.functions.text import tokenize_raw, with_bag
-from doccluster.sources.scratch import materialize
+from doccluster.sources.scratch import materialize, scratch_path, write_scratch
 
 # --- fixed values -----------------------------------------------------------
 NUM_FEATURES = 1 << 20
@@ -25,6 +30,17 @@ RUNS = 1
 TIE_DIGITS = 6
 # Weights of all centers up to which they may be broadcast, 8 bytes each.
 BROADCAST_WEIGHTS = 1 << 23
+# Tasks of a round per core; each hands over at most one row per bucket.
+TASKS_PER_CORE = 2
+# Documents packed as one row, and such rows in a file; the types of their numbers.
+PACKED_DOCS, FILE_ROWS = 1000, 16
+PACKED = {
+    "marks": "int64",
+    "sizes": "int32",
+    "squares": "float64",
+    "buckets": "int32",
+    "weights": "float64",
+}
 
 
 def hash_bucket(token: Column, num_features: int) -> Column:
@@ -108,14 +124,21 @@ def _new_centers(
     old: Centers | None = None,
 ) -> Centers:
     """Means of the clusters' vectors; a cluster without documents keeps its center."""
-    k, weight = len(sizes), F.col("weight")
+    weight = F.col("weight")
     sums = [
-        F.sum(F.when(F.col("cluster_id") == j, weight).otherwise(0.0)) for j in range(k)
+        F.sum(F.when(F.col("cluster_id") == j, weight).otherwise(0.0)) for j in range(len(sizes))
     ]
+    held = features.filter("bucket IS NOT NULL").join(assigned.select("doc_id", "cluster_id"), "doc_id")
+    return _means(held.groupBy("bucket").agg(F.array(*sums).alias("sums")), sizes, num_features, old)
+
+
+def _means(
+    centers: DataFrame, sizes: list[int], num_features: int, old: Centers | None = None
+) -> Centers:
+    """Centers of ``(bucket, sums)``."""
+    k = len(sizes)
     # an array of constants keeps the generated code the same from round to round
     number = F.array(*[F.lit(float(max(n, 1))) for n in sizes])
-    held = features.filter("bucket IS NOT NULL").join(assigned.select("doc_id", "cluster_id"), "doc_id")
-    centers = held.groupBy("bucket").agg(F.array(*sums).alias("sums"))
     mean = F.zip_with("sums", number, lambda total, n: total / n)
     centers = centers.select("bucket", mean.alias("center"))
     if old is not None and 0 in sizes:
@@ -155,67 +178,90 @@ def _assigned(features: DataFrame, model: Centers) -> DataFrame:
     return sums.select("doc_id", best).select("doc_id", "best.cluster_id", "best.cost")
 
 
-def _cluster_facts(assigned: DataFrame, k: int) -> tuple[list[int], list[int]]:
-    """Sizes of the k clusters, and a number for each that its documents give in any order."""
-    members = F.bit_xor(F.xxhash64("doc_id")).alias("members")
-    sizes, marks = [0] * k, [0] * k
-    for row in assigned.groupBy("cluster_id").agg(F.count("*").alias("n"), members).collect():
-        sizes[row.cluster_id], marks[row.cluster_id] = row.n, row.members
-    return sizes, marks
-
-
-def _new_centers(
-    features: DataFrame,
-    assigned: DataFrame,
-    sizes: list[int],
-    num_features: int,
-    old: Centers | None = None,
-) -> Centers:
-    """Means of the clusters' vectors; a cluster without documents keeps its center."""
-    k, weight = len(sizes), F.col("weight")
-    sums = [
-        F.sum(F.when(F.col("cluster_id") == j, weight).otherwise(0.0)) for j in range(k)
-    ]
-    # an array of constants keeps the generated code the same from round to round
-    number = F.array(*[F.lit(float(max(n, 1))) for n in sizes])
-    held = features.filter("bucket IS NOT NULL").join(assigned.select("doc_id", "cluster_id"), "doc_id")
-    centers = held.groupBy("bucket").agg(F.array(*sums).alias("sums"))
-    mean = F.zip_with("sums", number, lambda total, n: total / n)
-    centers = centers.select("bucket", mean.alias("center"))
-    if old is not None and 0 in sizes:
-        before = old.centers.withColumnRenamed("center", "before")
-        kept = [
-            F.coalesce(F.col("center" if n else "before")[j], F.lit(0.0))
-            for j, n in enumerate(sizes)
-        ]
-        centers = centers.join(before, "bucket", "full").select(
-            "bucket", F.array(*kept).alias("center")
-        )
-    centers = materialize(centers, "centers")
-    squares = [F.coalesce(F.sum(F.col("center")[j] ** 2), F.lit(0.0)) for j in range(k)]
-    return Centers(centers, list(centers.agg(*squares).first()), k * num_features <= BROADCAST_WEIGHTS)
-
+def _packed_documents(features: DataFrame) -> DataFrame:
+    """Written ``(marks, sizes, squares, buckets, weights)``, some documents a row, as bytes."""
+    held = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "weight"))
+    rows = features.groupBy("doc_id").agg(F.collect_list(held).alias("held"))
+    rows = rows.select(
+        F.xxhash64("doc_id").alias("mark"),
+        F.col("held.bucket").alias("buckets"),
+        F.col("held.weight").alias("weights"),
+    )
 
-def _assigned(features: DataFrame, model: Centers) -> DataFrame:
-    """``(doc_id, cluster_id, cost)``: each document's nearest center and its squared distance."""
-    centers = F.broadcast(model.centers) if model.broadcast else model.centers
-    weight = F.col("weight")
-    dots = [
-        F.coalesce(F.sum(weight * F.col("center")[j]), F.lit(0.0)).alias(f"dot_{j}")
-        for j in range(len(model.norms))
-    ]
-    square = F.coalesce(F.sum(weight * weight), F.lit(0.0)).alias("square")
-    sums = features.join(centers, "bucket", "left").groupBy("doc_id").agg(square, *dots)
-    costs = [
-        F.struct(
-            F.round(F.col("square") - 2 * F.col(f"dot_{j}") + norm, TIE_DIGITS).alias("cost"),
-            F.lit(j).cast("bigint").alias("cluster_id"),
-        )
-        for j, norm in enumerate(model.norms)
-    ]
-    return sums.select("doc_id", F.array_min(F.array(*costs)).alias("best")).select(
-        "doc_id", "best.cluster_id", "best.cost"
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, PACKED_DOCS):
+                batch = whole.slice(start, PACKED_DOCS)
+                sizes = np.diff(batch.column("buckets").offsets.to_numpy())
+                bucket = batch.column("buckets").flatten().to_numpy()
+                weight = batch.column("weights").flatten().to_numpy()
+                doc = np.repeat(np.arange(batch.num_rows), sizes)
+                square = np.bincount(doc, weights=weight * weight, minlength=batch.num_rows)
+                mark = batch.column("mark").to_numpy()
+                columns = dict(zip(PACKED, (mark, sizes, square, bucket, weight)))
+                row = [pa.array([columns[c].astype(PACKED[c]).tobytes()]) for c in PACKED]
+                yield pa.RecordBatch.from_arrays(row, names=list(PACKED))
+
+    packed = rows.mapInArrow(pack, ", ".join(f"{c} binary" for c in PACKED))
+    path = scratch_path(features.sparkSession, "packed-documents")
+    return write_scratch(packed, path, maxRecordsPerFile=FILE_ROWS)
+
+
+def _dense(model: Centers, num_features: int) -> np.ndarray:
+    """Centers as an array of a row per bucket, of BROADCAST_WEIGHTS numbers at most."""
+    table = model.centers.toArrow()
+    dense = np.zeros((num_features, len(model.norms)))
+    if table.num_rows:
+        weights = table["center"].combine_chunks().flatten().to_numpy()
+        dense[table["bucket"].to_numpy()] = weights.reshape(table.num_rows, -1)
+    return dense
+
+
+def _round(rows: DataFrame, model: Centers, num_features: int) -> tuple[DataFrame, tuple]:
+    """``(bucket, sums)`` of the documents nearest to each center, and ``_cluster_facts``."""
+    k, spark = len(model.norms), rows.sparkSession
+    shared = spark.sparkContext.broadcast(_dense(model, num_features))
+    norms = np.array(model.norms)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, sums = shared.value, np.zeros((num_features, k))
+        sizes, marks = np.zeros(k, dtype="int64"), np.zeros(k, dtype="int64")
+        for batch in batches:
+            for n in range(batch.num_rows):
+                mark, size, square, bucket, weight = (
+                    np.frombuffer(batch.column(c)[n].as_buffer(), kind) for c, kind in PACKED.items()
+                )
+                dots = np.zeros((len(size), k))
+                if len(bucket):
+                    first = (np.cumsum(size) - size)[size > 0]
+                    dots[size > 0] = np.add.reduceat(centers[bucket] * weight[:, None], first)
+                costs = np.round(square[:, None] - 2 * dots + norms, TIE_DIGITS)
+                nearest = np.argmin(costs, axis=1)
+                sizes += np.bincount(nearest, minlength=k)
+                np.bitwise_xor.at(marks, nearest, mark)
+                np.add.at(sums.reshape(-1), bucket.astype("int64") * k + np.repeat(nearest, size), weight)
+        used = np.flatnonzero((sums != 0).any(axis=1))
+        # the row of the facts comes last and has no bucket
+        names = ["bucket", *[f"s{j}" for j in range(k)], *[f"n{j}" for j in range(k)], *[f"m{j}" for j in range(k)]]
+        none = pa.nulls(len(used), pa.int64())
+        columns = [pa.array(used, pa.int64()), *[pa.array(sums[used, j]) for j in range(k)]]
+        yield pa.RecordBatch.from_arrays(columns + [none] * (2 * k), names=names)
+        facts = [pa.nulls(1, pa.int64())] + [pa.nulls(1, pa.float64())] * k
+        facts += [pa.array([n], pa.int64()) for n in [*sizes.tolist(), *marks.tolist()]]
+        yield pa.RecordBatch.from_arrays(facts, names=names)
+
+    kinds = [("s", "double"), ("n", "bigint"), ("m", "bigint")]
+    schema = ", ".join(["bucket bigint", *[f"{c}{j} {kind}" for c, kind in kinds for j in range(k)]])
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    parts = rows.coalesce(tasks).mapInArrow(add_up, schema)
+    totals = [f(f"{c}{j}").alias(f"{c}{j}") for c, f in zip("snm", (F.sum, F.sum, F.bit_xor)) for j in range(k)]
+    added = materialize(parts.groupBy("bucket").agg(*totals), "round")
+    shared.unpersist()
+    facts = added.filter("bucket IS NULL").first()
+    sums = added.filter("bucket IS NOT NULL").select(
+        F.col("bucket").cast("int").alias("bucket"), F.array(*[f"s{j}" for j in range(k)]).alias("sums")
     )
+    return sums, ([facts[f"n{j}"] for j in range(k)], [facts[f"m{j}"] for j in range(k)])
 
 
 def kmeans(
@@ -233,6 +279,7 @@ def kmeans(
     changes its cluster. With fewer documents than ``k`` there are fewer clusters.
     """
     best, least = None, None
+    rows = _packed_documents(features) if k * num_features <= BROADCAST_WEIGHTS else None
     for run in range(runs):
         first = _first_assignments(features, k, seed, run)
         found = first.count()
@@ -240,11 +287,18 @@ def kmeans(
             return Centers(features.selectExpr("bucket", "array() AS center").limit(0), [], True)
         model, seen = _new_centers(features, first, [1] * found, num_features), None
         for _ in range(max_iter):
-            assigned = materialize(_assigned(features, model), "assigned")
-            facts = _cluster_facts(assigned, found)
+            if rows is not None:
+                sums, facts = _round(rows, model, num_features)
+            else:
+                assigned = materialize(_assigned(features, model), "assigned")
+                facts = _cluster_facts(assigned, found)
             if facts == seen:
                 break
-            model, seen = _new_centers(features, assigned, facts[0], num_features, model), facts
+            if rows is not None:
+                model = _means(sums, facts[0], num_features, model)
+            else:
+                model = _new_centers(features, assigned, facts[0], num_features, model)
+            seen = facts
         if runs == 1:
             return model
         cost = total_cost(features, model)

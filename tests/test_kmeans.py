@@ -105,3 +105,15 @@ def test_fewer_documents_than_clusters_and_none(spark, features):
     none = materialize(features.limit(0), "none")
     model = kmeans.kmeans(none, 3, 3, num_features=BUCKETS)
     assert kmeans.kmeans_assignments(model, none).collect() == []
+
+
+def test_rounds_do_not_join_documents_with_their_clusters(features, monkeypatch):
+    """A round shuffles sums per bucket only; documents are packed once."""
+    whole = kmeans.kmeans(features, 3, 4, seed=5, num_features=BUCKETS)
+
+    def joined(*_):
+        raise AssertionError("the features are joined by document again")
+
+    monkeypatch.setattr(kmeans, "_assigned", joined)
+    again = kmeans.kmeans(features, 3, 4, seed=5, num_features=BUCKETS)
+    assert again.norms == pytest.approx(whole.norms)
