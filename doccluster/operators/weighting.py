@@ -129,6 +129,15 @@ def tf_icdf(
     )
 
 
+def scored_tf(tf: DataFrame, scores: DataFrame) -> DataFrame:
+    """``tf`` with the columns of ``scores``, which has one row per term.
+
+    The weightings below take it in place of ``tf``, so that several share one
+    join. A part of ``scores`` is hashed in a task; the postings are not sorted.
+    """
+    return tf.join(scores.hint("shuffle_hash"), "term")
+
+
 def _tf_times(
     cat_docs: DataFrame,
     score: str,
@@ -136,11 +145,11 @@ def _tf_times(
     tf: DataFrame | None,
     scores: DataFrame | None,
 ) -> DataFrame:
-    tf = written_tf(cat_docs, tf)
-    scores = term_scores(cat_docs, tf) if scores is None else scores
-    return tf.join(scores.select("term", score), "term").select(
-        "cate", "doc_id", "term", (factor * F.col(score)).alias("weight")
-    )
+    if tf is None or score not in tf.columns:
+        tf = written_tf(cat_docs, tf)
+        scores = term_scores(cat_docs, tf) if scores is None else scores
+        tf = scored_tf(tf, scores.select("term", score))
+    return tf.select("cate", "doc_id", "term", (factor * F.col(score)).alias("weight"))
 
 
 def tf_lig(cat_docs: DataFrame, tf=None, scores=None) -> DataFrame:

@@ -10,6 +10,7 @@ from doccluster.operators.weighting import (
     doc_weight_vectors,
     log_tf_ig,
     log_tf_lig,
+    scored_tf,
     term_scores,
     tf_icdf,
     tf_lig,
@@ -23,15 +24,17 @@ def write_term_scores(cat_docs: DataFrame, path: str, file_format: str = "parque
 
     Writes ``lig_all``, ``lig``, ``tflig`` and ``tfig`` under ``path``; the last
     three hold one directory per category. Postings and scores are computed
-    once and read by every output.
+    once, and joined and grouped by category once, for both weightings.
     """
     tf = materialize(term_frequency(cat_docs), "tf")
     scores = materialize(term_scores(cat_docs, tf), "scores")
     write_overwrite(scores, f"{path}/lig_all", file_format)
     by_category = category_term_scores(cat_docs, scores, tf)
     write_by_category(by_category, f"{path}/lig", "cate", file_format)
-    write_by_category(log_tf_lig(cat_docs, tf, scores), f"{path}/tflig", "cate", file_format)
-    write_by_category(log_tf_ig(cat_docs, tf, scores), f"{path}/tfig", "cate", file_format)
+    scored = materialize(scored_tf(tf, scores).hint("rebalance", "cate"), "scored-tf")
+    for weigh, name in ((log_tf_lig, "tflig"), (log_tf_ig, "tfig")):
+        weights = weigh(cat_docs, scored)
+        write_by_category(weights, f"{path}/{name}", "cate", file_format, grouped=True)
 
 
 def write_tf_lig(cat_docs: DataFrame, path: str, file_format: str = "parquet") -> None:

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from doccluster.operators import labeling, stats, weighting
+from doccluster.sources.scratch import materialize
 
 ROWS = [
     ("a", 1, "shared apple apple"),
@@ -119,3 +120,25 @@ def test_posting_chunks_are_bounded_and_whole(corpus):
     lists = stats.posting_lists(stats.term_frequency(corpus), chunk_bits=1).collect()
     shared = sorted((r.chunk, [(p.doc_id, p.tf) for p in r.postings]) for r in lists if r.term == "shared")
     assert shared == [(0, [(1, 1)]), (1, [(2, 1), (3, 1)]), (2, [(4, 1)])]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weightings_share_one_join_of_scores(cat_docs_of):
+    docs = cat_docs_of([("x", 1, "ant bee bee"), ("y", 2, "bee cat"), ("y", 3, "cat cat ant")])
+    scored = weighting.scored_tf(stats.term_frequency(docs), weighting.term_scores(docs))
+    scored = materialize(scored, "scored")
+    for weigh in (weighting.log_tf_lig, weighting.log_tf_ig):
+        assert "Join" not in plan_of(weigh(docs, scored))
+        got = {tuple(row) for row in weigh(docs, scored).collect()}
+        assert got == {tuple(row) for row in weigh(docs).collect()}
+
+
+def test_postings_are_not_sorted_to_meet_their_scores(spark, cat_docs_of):
+    docs = cat_docs_of([("x", 1, "ant bee bee"), ("y", 2, "bee cat")])
+    tf = materialize(stats.term_frequency(docs), "tf")
+    scores = materialize(weighting.term_scores(docs, tf), "scores")
+    plan = plan_of(weighting.tf_lig(docs, tf, scores))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
