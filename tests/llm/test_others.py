@@ -154,6 +154,38 @@ def test_search_ends_when_no_node_is_open(spark):
     assert [tuple(r) for r in neighbours.exact_limits(queries.collect(), vectors, 1).collect()] == [(0, 10, 100.0)]
 
 
+def test_graph_holds_most_of_the_nearest_before_any_search(spark):
+    vectors = np.random.default_rng(3).normal(size=(4000, 64))
+    rows = [(n, v) for n, v in enumerate(neighbours.pack(vectors))]
+    compact = materialize(spark.createDataFrame(rows, "node bigint, v binary"), "compact")
+    hits = 0
+    graph = neighbours.build_graph(compact, 64).filter("node % 40 = 0").collect()
+    for row in graph:
+        gap = ((vectors - vectors[row.node]) ** 2).sum(axis=1)
+        gap[row.node] = np.inf
+        hits += len(set(np.argsort(gap)[:10].tolist()) & {e.other for e in row.near})
+    assert len(graph) == 100 and hits / 1000 >= 0.93
+
+
+@pytest.mark.parametrize("common", [0.0, 1e6])
+def test_products_rule_out_no_pair_within_a_limit(common):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(30, 12, 5)) + common
+    vectors[:, 6:] = vectors[:, :6] + 1e-9 * rng.normal(size=(30, 6, 5))
+    ids = rng.permutation(360).reshape(30, 12)
+    fresh = rng.random((30, 12)) < 0.5
+    # limits are gaps that occur, so that equal ones are met
+    limit = ((vectors - np.roll(vectors, 6, axis=1)) ** 2).sum(axis=2) * rng.choice([1, 4, 1e18], (30, 12))
+    want = set()
+    for r in range(30):
+        for x in range(12):
+            for y in range(12):
+                gap = neighbours.gaps(vectors[r, [x]], vectors[r, [y]])[0]
+                if x != y and (fresh[r, x] or fresh[r, y]) and gap < limit[r, x]:
+                    want.add((ids[r, x], ids[r, y], gap))
+    assert want and set(zip(*neighbours._pairs_of(ids, vectors, limit, fresh))) == want
+
+
 # --- shards ---
 
 
