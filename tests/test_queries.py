@@ -61,3 +61,12 @@ def test_ranks_are_limited_before_the_shuffle(spark):
 def test_scan_reads_the_needed_columns_only(spark):
     plan = plan_of(weighting.term_scores(cat_docs(spark, SF_DIR)))
     assert "n_chars" not in plan and "source" not in plan.replace("resource", "")
+
+
+def test_preferences_write_no_table_of_all_pairs(spark, monkeypatch):
+    from doccluster import queries
+    from doccluster.sources import scratch
+
+    written = []
+    monkeypatch.setattr(queries, "materialize", lambda df, name: written.append(name) or scratch.materialize(df, name))
+    assert all_queries()["embed_preferences"](spark, SF_DIR).count() > 0 and "edges" not in written
