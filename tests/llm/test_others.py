@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from doccluster.llm import fixity, licenses, neighbours, sharding, toxicity, url_filters
+from doccluster.sources import scratch
 from doccluster.sources.scratch import materialize
 
 SMALL = "/root/testdata/sf0.001"
@@ -84,6 +85,20 @@ def test_held_out_rows_are_scored_but_not_learned(spark):
 # --- neighbours ---
 
 
+def test_rounds_and_steps_overwrite_their_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "checkpoint_root", lambda spark: str(tmp_path))
+    rng = np.random.default_rng(5)
+    rows = [(n, v) for n, v in enumerate(neighbours.pack(rng.normal(size=(400, 32))))]
+    compact = spark.createDataFrame(rows, "node bigint, v binary")
+    compact = materialize(compact, "packed")
+    lists = neighbours.linked(neighbours.build_graph(compact, 32), compact)
+    queries = compact.filter("node < 20").withColumnRenamed("node", "query")
+    assert neighbours.search(queries, lists, 32, 128).count() == 20 * 128
+    names = [p.name.split("-")[0] for p in (tmp_path / "doccluster").iterdir()]
+    most = {"packed": 1, "graph": 2, "fresh": 1, "links": 2, "linked": 1, "beam": 2}
+    assert {n: names.count(n) for n in names} == most
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(400, 6)).round(1)

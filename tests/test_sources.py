@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from doccluster.plans import jobs
@@ -103,3 +105,15 @@ def test_report_of_a_named_run_is_replaced(spark, tmp_path):
     lines = spark.read.text(path).groupBy("run").count().collect()
     assert {r.run: r["count"] for r in lines} == {"a/1": 2, "b": 1}
     assert {r.value for r in spark.read.text(path).filter("run = 'a/1'").collect()} == {"1\tNaN", "2\t0.5"}
+
+
+def test_shuffle_files_of_a_written_table_go_with_the_write(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    files = blocks.diskBlockManager().getAllFiles
+    before, setting = files().size(), spark.conf.get(scratch.CLEANUP, None)
+    written = scratch.materialize(spark.range(5000).selectExpr("id % 7 as n").groupBy("n").count(), "n")
+    end = time.time() + 10
+    while files().size() > before and time.time() < end:
+        time.sleep(0.1)
+    assert files().size() <= before and spark.conf.get(scratch.CLEANUP, None) == setting
+    assert written.count() == 7
