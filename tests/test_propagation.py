@@ -176,3 +176,21 @@ def test_settings_in_one_loop_equal_separate_graphs(spark):
         assert {r.doc_id.id: r.exemplar.id for r in together if r.doc_id.setting == n} == {
             r.doc_id: r.exemplar for r in alone.collect()
         }
+
+
+def test_auto_preferences_does_not_write_its_edges(spark, tmp_path, monkeypatch):
+    from doccluster import queries
+    from doccluster.operators import ranking
+    from doccluster.sources import scratch
+
+    monkeypatch.setattr(scratch, "checkpoint_root", lambda spark: str(tmp_path))
+    monkeypatch.setattr(ranking, "SMALL_ENOUGH", 100)
+    found = queries.all_queries()["auto_preferences"](spark, "/root/testdata/sf0.001")
+    rows = [(r.i, r.k, float(r.s)) for r in found.collect()]
+    others = [s for i, k, s in rows if i != k]
+    middle = sorted(others)[(len(others) - 1) // 2 : len(others) // 2 + 1]
+    assert len(others) > 5000
+    own = [s for i, k, s in rows if i == k]
+    assert own == pytest.approx([sum(middle) / len(middle)] * len(own), abs=2e-6)
+    names = {p.name.split("-")[0] for p in (tmp_path / "doccluster").iterdir()}
+    assert "bracket" in names and "edges" not in names
