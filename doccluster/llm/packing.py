@@ -223,6 +223,8 @@ def tokenize_pieces(
         for batch in batches:
             for part in _slices(batch, slice_chars):
                 yield _pieces(part, words_ids, capacity, end)
+        # the worker stays for other tasks and stages, its buffers need not
+        pa.default_memory_pool().release_unused()
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string"))
     return picked.mapInArrow(run, PIECES)

@@ -96,7 +96,11 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
         for low in range(0, len(texts), BATCH_ROWS):
             some = texts.slice(low, BATCH_ROWS).to_pylist()
             parts.append(pa.array([masked(t, text_spans(scanner, t)) for t in some], pa.string()))
-        return pa.concat_arrays(parts) if parts else texts
+        out = pa.concat_arrays(parts) if parts else texts
+        # the worker stays for other tasks and stages, its buffers need not
+        del parts
+        pa.default_memory_pool().release_unused()
+        return out
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     if "n_chars" in docs.columns:

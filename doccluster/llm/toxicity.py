@@ -37,7 +37,7 @@ THRESHOLD = 0.3
 PRIME = 0x01000193
 MIX = 0x9E3779B1
 # Characters per step of work in a task.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -247,6 +247,8 @@ def scored(spark: SparkSession, model: Model, text: Column) -> Column:
         part = np.cumsum(sizes) // STEP_CHARS
         borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         values = [fitted.scores(texts.slice(a, b - a)) for a, b in zip(borders, borders[1:])]
+        # the worker stays for other tasks and stages, its buffers need not
+        pa.default_memory_pool().release_unused()
         return pa.array(np.concatenate(values))
 
     return run(text)
