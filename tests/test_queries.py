@@ -70,3 +70,19 @@ def test_preferences_write_no_table_of_all_pairs(spark, monkeypatch):
     written = []
     monkeypatch.setattr(queries, "materialize", lambda df, name: written.append(name) or scratch.materialize(df, name))
     assert all_queries()["embed_preferences"](spark, SF_DIR).count() > 0 and "edges" not in written
+
+
+def test_edges_round_as_decimals_do(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from doccluster.queries import edges, rounded
+
+    rng = random.Random(6)
+    values = [None, float("nan"), float("inf"), 0.0, -0.0, -1e-9, 5e-7, -0.0078125, 0.1234565, 1e12 + 1]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-7, 13) for _ in range(5000)]
+    values += [(n + 0.5) / 1_000_000 for n in range(-300, 300)]
+    df = spark.createDataFrame([(n, n, v) for n, v in enumerate(values)], "i bigint, k bigint, s double")
+    both = edges(df).join(df.select("i", rounded("s", "want")), "i")
+    assert both.filter(~F.col("s").eqNullSafe(F.col("want"))).count() == 0
